@@ -25,7 +25,8 @@ from . import base
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Long-assigned blocks (Latin, Greek, Cyrillic, punctuation, kana, common CJK): classes there never change.
 SAFE = r"[\x00-\x1B\x20-ȳΑ-ΡΣ-ώА-я‐-‧‰-⁞€←-⇿ぁ-ゖァ-ヺ一-龥가-힣]*"
-CACHE_ENTRIES = 400_000
+#: Words in each of the two generations of a worker's cache.
+CACHE_ENTRIES = 300_000
 
 _worker: dict[str, _Counter] = {}
 
@@ -76,26 +77,32 @@ class _Counter:
         pre = conf["pre_tokenizer"] or {}
         #: Other kinds of tokenizer files are encoded whole.
         self.by_parts = conf["model"]["type"] == "BPE" and not conf["normalizer"] and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre.get("use_regex", True)
-        self.frequent, self.cache = frequent, {}
+        self.frequent, self.cache, self.older = frequent, {}, {}
+        self.model = self.tokenizer.model
+        self.letter = {b: c for c, b in _byte_letters().items()}.__getitem__
 
     def whole(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def parts(self, text: str) -> int:
-        """By pre-tokens: the frequent table, then the library."""
+        """By pre-tokens: the frequent table, then the model's merges."""
         get, total = self.frequent.get, 0
         for part in self.split(text):
-            total += get(part) or self.whole(part)
+            total += get(part) or len(self.model.tokenize("".join(map(self.letter, part.encode()))))
         return total
 
     def missed(self, words: list[str], got: list[int | None]) -> int:
-        if len(self.cache) >= CACHE_ENTRIES:
-            self.cache.clear()
+        """Fills the gaps of got.  The cache has two generations: what was used lately survives a change."""
         total = 0
         for word, n in zip(words, got, strict=True):
             if n is None:
-                n = self.cache[word] = self.parts(f" {word}")
+                n = self.older.get(word)
+                if n is None:
+                    n = self.parts(f" {word}")
+                self.cache[word] = n
             total += n
+        if len(self.cache) >= CACHE_ENTRIES:
+            self.older, self.cache = self.cache, {}
         return total
 
     def count(self, text: str) -> int:
