@@ -24,7 +24,7 @@ from . import base
 #: The splitting pattern of byte-level BPE; \s is Unicode white space in both libraries.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Long-assigned blocks (Latin, Greek, Cyrillic, punctuation, kana, common CJK): classes there never change.
-SAFE = r"[\x00-\x1B\x20-ȳΑ-ΡΣ-ώА-я‐-‧‰-⁞€←-⇿ぁ-ゖァ-ヺ一-龥가-힣]*"
+SAFE = r"[\x00-ȳΑ-ΡΣ-ώА-я‐-‧‰-⁞€←-⇿ぁ-ゖァ-ヺ一-龥가-힣]*"
 #: Words in each of the two generations of a worker's cache.
 CACHE_ENTRIES = 300_000
 
@@ -71,7 +71,7 @@ class _Counter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.split = regex.compile(PATTERN).findall
-        self.safe = regex.compile(SAFE).fullmatch
+        self.known = regex.compile(SAFE).fullmatch
         self.runs = regex.compile(r" \s").search
         self.special = [t["content"] for t in conf["added_tokens"]]
         pre = conf["pre_tokenizer"] or {}
@@ -108,7 +108,7 @@ class _Counter:
     def count(self, text: str) -> int:
         if not text:
             return 0
-        if not self.by_parts or any(s in text for s in self.special) or not self.safe(text):
+        if not self.by_parts or any(s in text for s in self.special) or not (text.isascii() or self.known("".join(set(text)))):
             return self.whole(text)
         # A pre-token never runs across a single space that a non-space follows, so what lies between
         # such spaces is counted, and cached, by itself.
