@@ -59,6 +59,22 @@ def frequent_lengths(spec: str) -> dict[str, int]:
     return out
 
 
+def _ranked(conf: dict):
+    """An encoder by ranks, where the vocabulary numbers its entries in the order of the merges; else None.
+
+    Merging the lowest rank first is then the same as applying the merges in order.
+    """
+    import tiktoken
+
+    letters, vocab = _byte_letters(), conf["model"]["vocab"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in conf["model"]["merges"]]
+    if any(vocab.get(c, 256) > 255 for c in letters) or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        return None
+    special = {t["content"] for t in conf["added_tokens"]}
+    ranks = {bytes(letters[c] for c in entry): i for entry, i in vocab.items() if entry not in special}
+    return tiktoken.Encoding("by_ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class _Counter:
     """Counts tokens in one Python worker."""
 
@@ -79,18 +95,26 @@ class _Counter:
         self.by_parts = conf["model"]["type"] == "BPE" and not conf["normalizer"] and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre.get("use_regex", True)
         self.frequent, self.cache, self.older = frequent, {}, {}
         self.model = self.tokenizer.model
+        self.ranked = _ranked(conf) if self.by_parts else None
         self.letter = {b: c for c, b in _byte_letters().items()}.__getitem__
 
     def whole(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def parts(self, text: str) -> int:
-        """By pre-tokens: the frequent table, then the model's merges."""
+        """By pre-tokens: the frequent table, then the merges."""
+        if self.ranked:
+            return len(self.ranked(text))
         get, total = self.frequent.get, 0
         for part in self.split(text):
             total += get(part) or len(self.model.tokenize("".join(map(self.letter, part.encode()))))
         return total
 
+    def word(self, word: str) -> int:
+        """Tokens of a space and a word."""
+        word = f" {word}"
+        return self.frequent.get(word) or self.parts(word)
+
     def missed(self, words: list[str], got: list[int | None]) -> int:
         """Fills the gaps of got.  The cache has two generations: what was used lately survives a change."""
         total = 0
@@ -98,7 +122,7 @@ class _Counter:
             if n is None:
                 n = self.older.get(word)
                 if n is None:
-                    n = self.parts(f" {word}")
+                    n = self.word(word)
                 self.cache[word] = n
             total += n
         if len(self.cache) >= CACHE_ENTRIES:
