@@ -25,7 +25,7 @@ from .wordhash import _LOWER, blocks, mix, spans, word_hashes
 #: Words of a window, and from one window to the next.
 LENGTH, STRIDE = 24, 12
 #: Bound of the labelled sample: texts of either class, and words kept of each for training.
-POSITIVE, NEGATIVE, MOST_WORDS = 2000, 4000, 1024
+POSITIVE, NEGATIVE, MOST_WORDS = 1500, 2500, 1024
 THRESHOLD = 0.3
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 TRIGRAMS = 4096
@@ -95,11 +95,12 @@ class Model:
         """Per window.  Both embeddings are projected once per distinct word of the block."""
         p = self.p
         word = p["word"] @ p["w"][:, :WORD_DIM].transpose(1, 0, 2).reshape(WORD_DIM, -1)
-        char = p["char"] @ p["w"][:, WORD_DIM:].transpose(1, 0, 2).reshape(CHAR_DIM, -1)
+        char = p["w"][:, WORD_DIM:].transpose(1, 0, 2).reshape(CHAR_DIM, -1)
         types = np.zeros((len(tokens.hash) + 1, 2, 3 * HIDDEN), dtype=np.float32)
         if len(tokens.hash):
-            mean = np.add.reduceat(char[tokens.tri], tokens.tri_first) / tokens.tri_count[:, None]
-            types[:-1] = (word[self.word_rows(tokens.hash)] + mean).reshape(-1, 2, 3 * HIDDEN) + p["b"]
+            owner = np.repeat(np.arange(len(tokens.hash)), tokens.tri_count)
+            mean = (_add(owner, p["char"][tokens.tri], len(tokens.hash)) / tokens.tri_count[:, None]).astype(np.float32)
+            types[:-1] = (word[self.word_rows(tokens.hash)] + mean @ char).reshape(-1, 2, 3 * HIDDEN) + p["b"]
         out = np.empty(len(text))
         for i in range(0, len(text), _BATCH):
             ids = tokens.matrix(text[i : i + _BATCH], start[i : i + _BATCH])
@@ -161,7 +162,7 @@ def backward(p: dict, saved, slope: np.ndarray) -> tuple[dict, np.ndarray]:
     de = alpha * (dalpha - (alpha * dalpha).sum(0))
     g["att_v"] = np.einsum("tba,tb->a", q, de)
     dq = de[..., None] * p["att_v"] * (1 - q * q)
-    g["att"], g["att_b"] = np.einsum("tbh,tba->ha", states, dq), dq.sum((0, 1))
+    g["att"], g["att_b"] = states.reshape(-1, 2 * HIDDEN).T @ dq.reshape(-1, ATTENTION), dq.sum((0, 1))
     dstates = dstates + dq @ p["att"].T
     da = np.zeros((2, *m.shape[:2], 3 * HIDDEN), dtype=np.float32)
     dh, direction = None, None
@@ -213,7 +214,7 @@ def _pick(tokens: Tokens, y: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray, n
     return text[use], start[use], y[text[use]].astype(np.float32)
 
 
-def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = 10, batch: int = 512, rate: float = 0.01, seed: int = 7) -> Model:
+def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = 6, least: int = 240, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Model:
     """Train on labelled texts; weight restores the classes' true shares in the calibration."""
     rng = np.random.default_rng(seed)
     share = float(np.clip((weight * y).sum() / max(weight.sum(), 1e-9), 1e-3, 1 - 1e-3))
@@ -227,11 +228,11 @@ def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = 10,
     vocabulary = tokens.hash[often >= max(5, len(y) // 600)]
     model = Model(np.sort(vocabulary), _start(len(vocabulary), rng))
     p, rows_of = model.p, model.word_rows(tokens.hash)
-    tri_owner = np.repeat(np.arange(len(tokens.hash)), tokens.tri_count)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
     lift = np.where(label == 1, max(1.0, (label == 0).sum() / max((label == 1).sum(), 1) / 2), 1.0)
-    step = 0
-    total = epochs * -(-len(label) // batch)
+    batch = int(np.clip(len(label) // 12, 32, batch))
+    epochs = max(epochs, -(-least * batch // len(label)))
+    step, total = 0, epochs * -(-len(label) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(label))
         for k in range(0, len(order), batch):
@@ -240,9 +241,10 @@ def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = 10,
             mask = now >= 0
             types, at = np.unique(now[mask], return_inverse=True)
             known = np.where(rng.random(len(types)) < 0.25, 0, rows_of[types])  # some words by their letters alone
-            inside = np.isin(tri_owner, types)
-            tri, of = tokens.tri[inside], np.searchsorted(types, tri_owner[inside])
-            n = tokens.tri_count[types][:, None]
+            n = tokens.tri_count[types]
+            of = np.repeat(np.arange(len(types)), n)
+            tri = tokens.tri[np.repeat(tokens.tri_first[types] - (np.cumsum(n) - n), n) + np.arange(len(of))]
+            n = n[:, None]
             chars = _add(of, p["char"][tri], len(types)) / n
             vec = np.concatenate([p["word"][known], chars], axis=1).astype(np.float32)
             x = np.zeros((*now.shape, WORD_DIM + CHAR_DIM), dtype=np.float32)
@@ -251,7 +253,7 @@ def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = 10,
             z, saved = forward(p, a, mask, keep=True)
             slope = ((_sigmoid(z) - label[use]) * lift[use] / len(use)).astype(np.float32)
             g, da = backward(p, saved, slope)
-            g["w"] = np.stack([np.einsum("tbd,tbh->dh", x, da[d]) for d in (0, 1)])
+            g["w"] = np.stack([x.reshape(-1, x.shape[-1]).T @ da[d].reshape(-1, 3 * HIDDEN) for d in (0, 1)])
             g["b"] = da.sum((1, 2))
             dx = (da[0] @ p["w"][0].T + da[1] @ p["w"][1].T)[mask]
             dvec = _add(at, dx, len(types))
