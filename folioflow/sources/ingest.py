@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,8 +83,6 @@ def sections_of(extracted: DataFrame) -> DataFrame:
 
 def html_to_text(html: str):
     """Column of the text of an HTML column, by Arrow batches."""
-    import pandas as pd
-
     def convert(batch: pd.Series) -> pd.Series:
         from .readers import html_text
 
