@@ -26,6 +26,8 @@ from .wordhash import _LOWER, blocks, mix, spans, word_hashes
 LENGTH, STRIDE = 24, 12
 #: Bound of the labelled sample: texts of either class, and words kept of each for training.
 POSITIVE, NEGATIVE, MOST_WORDS = 1500, 2500, 1024
+#: Random windows of clean texts in training, about.
+CLEAN_WINDOWS = 6000
 THRESHOLD = 0.3
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 TRIGRAMS = 4096
@@ -209,7 +211,8 @@ def _pick(tokens: Tokens, y: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray, n
     rank = np.empty(len(text), np.int64)
     rank[order] = np.arange(len(text)) - np.repeat(np.flatnonzero(np.append(True, text[order][1:] != text[order][:-1])), np.bincount(text, minlength=len(y)))
     toxic = (y[text] == 1) & ((rank == 0) | (rank < 3) & (best > np.log(8)))
-    clean = (y[text] == 0) & ((rank == 0) | (rng.random(len(text)) < 2 / np.maximum(np.bincount(text)[text], 2)))
+    clean = y[text] == 0
+    clean &= (rank == 0) | (rng.random(len(text)) < CLEAN_WINDOWS / max(int(clean.sum()), 1))
     use = np.flatnonzero(toxic | clean)
     return text[use], start[use], y[text[use]].astype(np.float32)
 
@@ -221,8 +224,12 @@ def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = 6,
     if not len(y) or y.min() == y.max():
         model = Model(np.zeros(0, np.uint64), _start(0, rng), 0.0, float(np.log(share / (1 - share))))
         return model
-    tokens = Tokens(texts)
-    text, start, label = _pick(tokens, y, rng)
+    held = rng.permutation(len(y)) % 5 == 0  # not trained on, if it has toxic texts enough to calibrate with
+    if (y[held] == 1).sum() < 30:
+        held[:] = False
+    train_y = y[~held]
+    tokens = Tokens([t for t, h in zip(texts, held, strict=True) if not h])
+    text, start, label = _pick(tokens, train_y, rng)
     ids = tokens.matrix(text, start)
     often = np.bincount(np.append(ids[ids >= 0], 0), minlength=len(tokens.hash))
     vocabulary = tokens.hash[often >= max(5, len(y) // 600)]
@@ -232,6 +239,7 @@ def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = 6,
     lift = np.where(label == 1, max(1.0, (label == 0).sum() / max((label == 1).sum(), 1) / 2), 1.0)
     batch = int(np.clip(len(label) // 12, 32, batch))
     epochs = max(epochs, -(-least * batch // len(label)))
+    rate *= 0.3 + 0.7 * min(1.0, len(label) / 8000)  # few windows are soon learned by heart
     step, total = 0, epochs * -(-len(label) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(label))
@@ -267,19 +275,31 @@ def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = 6,
                 m1 += 0.1 * (grad - m1)
                 m2 += 0.01 * (grad * grad - m2)
                 v -= (lr * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    _calibrate(model, model.raw(texts), y, weight)
+    use = np.flatnonzero(held) if held.any() else np.arange(len(y))
+    _calibrate(model, model.raw([texts[k] for k in use]), y[use], weight[use])
     return model
 
 
 def _calibrate(model: Model, raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
-    """Logistic regression of the label on the raw score, by Newton steps."""
-    x = np.stack([raw, np.ones_like(raw)], axis=1)
-    beta = np.zeros(2)
+    """Logistic regression of the label on the standardised raw score: damped Newton steps with a ridge."""
+    mean, scale = raw.mean(), max(raw.std(), 1e-6)
+    x = np.stack([(raw - mean) / scale, np.ones_like(raw)], axis=1)
+    ridge = np.array([1.0, 1e-3])
+
+    def loss(b):
+        z = x @ b
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() + (ridge * b * b).sum() / 2
+
+    beta = np.array([1.0, 0.0])
     for _ in range(50):
         p = _sigmoid(np.clip(x @ beta, -30, 30))
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        beta = beta + np.clip(np.linalg.solve(hess, x.T @ (weight * (y - p)) - 1e-3 * beta), -2, 2)
-    model.slope, model.offset = max(float(beta[0]), 0.0), float(beta[1])
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        step, size = np.linalg.solve(hess, x.T @ (weight * (y - p)) - ridge * beta), 1.0
+        while size > 1e-4 and loss(beta + size * step) > loss(beta):
+            size /= 2
+        beta = beta + size * step
+    slope = max(float(beta[0]), 0.0) / scale
+    model.slope, model.offset = slope, float(beta[1]) - slope * mean
 
 
 def _part(text: bytes) -> bytes:
