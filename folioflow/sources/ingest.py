@@ -17,12 +17,17 @@ SECTION = "struct<section_idx: int, anchor: string, body: string, fetch_hint: st
 _DDL = f"doc_id string, fmt string, sections array<{SECTION}>, meta map<string,string>, ok boolean, exit_code int, error string"
 _SECTION = pa.struct([("section_idx", pa.int32()), ("anchor", pa.string()), ("body", pa.string()), ("fetch_hint", pa.string())])
 _ARROW = pa.schema([("doc_id", pa.string()), ("fmt", pa.string()), ("sections", pa.list_(_SECTION)), ("meta", pa.map_(pa.string(), pa.string())), ("ok", pa.bool_()), ("exit_code", pa.int32()), ("error", pa.string())])
+#: Names by which a caller may force a format.
+FORCED = {
+    **{k: k for k in ("pdf", "docx", "xlsx", "pptx", "odt", "ods", "odp", "epub", "rtf", "html", "xml", "json", "jsonl", "text", "sqlite", "ipynb", "eml", "yaml", "toml", "ini")},
+    "csv": "delimited", "tsv": "delimited", "txt": "text", "zip": "zip-container", "yml": "yaml",
+}
 #: Formats whose reader output is sanitized.
 SANITIZED = frozenset("pdf docx odt ods odp epub rtf html xml text yaml toml ini jsonl ipynb eml".split())
 
 
-def scan(spark: SparkSession, path: str, conf: EngineConf | None = None, glob: str | None = None) -> DataFrame:
-    """doc_id (the path), ext, length, content, fmt.  Files over the cap keep a row without content."""
+def scan(spark: SparkSession, path: str, conf: EngineConf | None = None, glob: str | None = None, force: str | None = None) -> DataFrame:
+    """doc_id (the path), ext, length, content, fmt (that of `force` if it names one).  Files over the cap keep a row without content."""
     conf = conf or EngineConf.of(spark)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
@@ -32,13 +37,15 @@ def scan(spark: SparkSession, path: str, conf: EngineConf | None = None, glob: s
     small = files.where(usable).select(F.col("path").alias("doc_id"), "length", "content")
     refused = files.where(~usable).select(F.col("path").alias("doc_id"), "length", F.lit(None).cast("binary").alias("content"))
     both = small.union(refused).withColumn("ext", extension(F.col("doc_id")))
-    return both.withColumn("fmt", sniff(F.col("content"), F.col("ext")))
+    forced = FORCED.get((force or "").lower())
+    return both.withColumn("fmt", F.lit(forced) if forced else sniff(F.col("content"), F.col("ext")))
 
 
-def extract(files: DataFrame, conf: EngineConf | None = None) -> DataFrame:
+def extract(files: DataFrame, conf: EngineConf | None = None, pages: str | None = None, sheets: str | None = None) -> DataFrame:
     """One row per file: doc_id, fmt, sections, meta, ok, exit_code, error.  A bad file is a row, not a failure.
 
-    files: doc_id, fmt, content; a null content is an empty or oversized file (exit code 6).
+    files: doc_id, fmt, content.  pages ("1-3,5") selects pages of pdf files, sheets ("Sales,2-4") sheets
+    of xlsx files, inside the readers; other formats ignore them.  A null content is an empty or oversized file (exit code 6).
     """
     conf = conf or EngineConf.of(files.sparkSession)
 
@@ -51,7 +58,7 @@ def extract(files: DataFrame, conf: EngineConf | None = None) -> DataFrame:
                 row = {"doc_id": doc_id, "fmt": fmt, "sections": [], "meta": [], "ok": False, "exit_code": 6, "error": "the file is empty or over the size cap"}
                 if content is not None:
                     try:
-                        kind, sections, meta = read_file(content, fmt, posixpath.basename(doc_id or ""), conf)
+                        kind, sections, meta = read_file(content, fmt, posixpath.basename(doc_id or ""), conf, pages, sheets)
                         row |= {"fmt": kind, "ok": True, "exit_code": 0, "error": None, "meta": [(k, str(v)) for k, v in meta.items()]}
                         row["sections"] = [{"section_idx": k, "anchor": a, "body": _valid(b), "fetch_hint": h} for k, (a, b, h) in enumerate(sections)]
                     except ReadError as e:
@@ -77,7 +84,7 @@ def _valid(text: str) -> str:
 def sections_of(extracted: DataFrame) -> DataFrame:
     """doc_id, section_idx, anchor, body, fetch_hint; text bodies cleaned inside the JVM."""
     s = extracted.select("doc_id", "fmt", F.explode("sections").alias("s")).select("doc_id", "fmt", "s.*")
-    body = F.when(F.col("fmt").isin(*sorted(SANITIZED)), X.collapse_blank_runs(X.clean(F.col("body")))).otherwise(F.col("body"))
+    body = F.when(F.col("fmt").isin(*sorted(SANITIZED)), X.collapse_blank_runs(X.collapse_repeats(X.clean(F.col("body"))))).otherwise(F.col("body"))
     return s.select("doc_id", "section_idx", "anchor", body.alias("body"), "fetch_hint")
 
 
@@ -91,11 +98,11 @@ def html_to_text(html: str):
     return F.pandas_udf(convert, "string")(F.col(html))
 
 
-def document_text(spark: SparkSession, path: str, budget: int | None = None, full: bool = False) -> DataFrame:
+def document_text(spark: SparkSession, path: str, budget: int | None = None, full: bool = False, pages: str | None = None, sheets: str | None = None, force: str | None = None) -> DataFrame:
     """Files below a path to budgeted text, with the plan's columns and a header line."""
     from ..plans.budget import assemble
 
     conf = EngineConf.of(spark)
-    got = extract(scan(spark, path, conf), conf)
+    got = extract(scan(spark, path, conf, force=force), conf, pages, sheets)
     headers = got.select("doc_id", F.concat(F.lit("[folioflow] file="), F.regexp_extract("doc_id", r"([^/]*)$", 1), F.lit(" format="), F.col("fmt")).alias("header"))
     return assemble(sections_of(got), budget or conf.budget_tokens, full, headers)

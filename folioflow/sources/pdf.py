@@ -172,13 +172,16 @@ def page_text(content: bytes, fonts: dict[bytes, dict]) -> str:
     return "\n".join(x for x in [*lines, "".join(line)] if x.strip())
 
 
-def pdf(data: bytes, name: str, conf: EngineConf):
+def pdf(data: bytes, name: str, conf: EngineConf, wanted=lambda n: True):
+    """Sections of the pages whose number is wanted; the others' contents are not decoded."""
     doc = Pdf(data, conf)
     pages = doc.pages()
     if not pages:
         raise doc.error("no pages found")
     out, empty = [], 0
     for k, n in enumerate(pages, 1):
+        if not wanted(k):
+            continue
         head = doc.head(n)
         m = re.search(rb"/Contents\s*(?:\[(.*?)\]|(\d+\s+\d+\s+R))", head, re.S)
         refs = [int(r[1]) for r in _REF.finditer(m[1] or m[2])] if m else []

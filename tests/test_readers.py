@@ -117,6 +117,41 @@ def test_pdf():
     assert e.value.code == 4
 
 
+def test_page_and_sheet_selection(spark, tmp_path):
+    from folioflow.sources import ingest
+
+    data = pdf_of([b"BT (p%d) Tj ET" % k for k in range(1, 11)])
+    anchors = lambda spec: [a for a, _, _ in R.read_file(data, "pdf", "x", CONF, pages=spec)[1]]
+    assert anchors("2,8-7") == ["=== [page 2/10] ===", "=== [page 7/10] ===", "=== [page 8/10] ==="] and len(anchors("junk")) == 10 and anchors("99") == []
+    book = {"xl/workbook.xml": '<workbook><sheets><sheet name="Keep"/><sheet name="Two"/><sheet name="2"/></sheets></workbook>'}
+    book |= {f"xl/worksheets/sheet{k}.xml": f"<w><sheetData><row><c><v>{k}</v></c></row></sheetData></w>" for k in (1, 2, 3)}
+    sheets = lambda spec: [b for _, b, _ in R.read_file(zipped(book), "zip-container", "x", CONF, sheets=spec)[1]]
+    assert sheets("keep") == ["1"] and sheets("2") == ["2"] and sheets("TWO, 3-3") == ["2", "3"] and sheets("none") == ["1", "2", "3"]
+    (tmp_path / "a.pdf").write_bytes(data)
+    row = ingest.document_text(spark, str(tmp_path), pages="3").first()
+    assert "=== [page 3/10] ===\np3" in row.text and row.sections_total == 1
+    assert "format=text" in ingest.document_text(spark, str(tmp_path), force="TXT").first().text
+    assert "format=pdf" in ingest.document_text(spark, str(tmp_path), force="nonsense").first().text
+
+
+def test_repeated_lines_of_sections(spark):
+    """The expression form against the window form, and inside the ingest."""
+    from pyspark.sql import functions as F
+
+    from folioflow.functions import text as X
+    from folioflow.operators.lines import collapse_repeats
+    from folioflow.sources import ingest
+
+    texts = ["", "a\n" * 200, "x\n a\n" + "a \n" * 70 + "b\n" * 61 + "c\n" * 60 + "\n" * 90 + "d", "one", "e\n" * 59 + "e", "e\n" * 60 + "e", "f\n" * 61 + "f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    for most in (2, 60):
+        want = {r.id: r.t for r in collapse_repeats(df, "id", "t", most).collect()}
+        assert {r.id: r.t for r in df.select("id", X.collapse_repeats(F.col("t"), most).alias("t")).collect()} == want
+    files = spark.createDataFrame([("a.txt", "text", bytearray(b"same\n" * 300 + b"end"))], "doc_id string, fmt string, content binary")
+    body = ingest.sections_of(ingest.extract(files)).first().body
+    assert body.count("same") == 60 and "identical line repeated more than 60 times" in body and body.endswith("end")
+
+
 def test_text_formats():
     assert "[cool link](https://x.y)" in read(b'<html><a href="https://x.y">cool link</a><script>no</script>', "html")[1]
     source = b"{" + b"/rtf1{/fonttbl Arial;}caf/'e9 /u9731?}".replace(b"/", bytes([92]))
