@@ -42,6 +42,7 @@ class EngineConf:
         return cls(**found)
 
 
+VERSION = "0.1.0"
 #: Fixed values of the planner and the text pipeline.
 HEAD_SHARE, TAIL_SHARE = 0.6, 0.4
 SECTION_CHARS = 2_000_000

@@ -70,13 +70,19 @@ def elided(sections: DataFrame, budget: int) -> DataFrame:
     )
 
 
-def assemble(sections: DataFrame, budget: int, full: bool = False, headers: DataFrame | None = None) -> DataFrame:
-    """doc_id, text and the plan's columns: header, shown sections, a banner for the gap, the footer."""
+def assemble(sections: DataFrame, budget: int, full: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text and the plan's columns: header, shown sections, a banner for the gap, the footer.
+
+    carry: further columns of sections with one value per document (the largest, nulls aside), passed
+    on as they are; one named header becomes the text's first line.  They ride on the planner's own
+    exchange, so no join meets the documents again.
+    """
     z = zones(sections, budget, full)
     body = F.coalesce("body", F.lit(""))
     shown = F.concat(F.col("anchor"), F.lit("\n"), F.when(F.col("cap").isNotNull(), X.window_body(body, F.col("cap"))).otherwise(body))
     z = z.withColumn("shown", F.when(F.col("zone") != "mid", shown))
     mid = F.col("zone") == "mid"
+    kept = [c for c in carry if c != "header"]
     first, last = F.min_by(F.when(mid, F.col("anchor")), F.when(mid, F.col("section_idx"))), F.max_by(F.when(mid, F.col("anchor")), F.when(mid, F.col("section_idx")))
     hint = F.coalesce(F.min_by(F.when(mid, F.col("fetch_hint")), F.when(mid, F.col("section_idx"))), F.lit("--full"))
     banner = F.concat(
@@ -89,15 +95,15 @@ def assemble(sections: DataFrame, budget: int, full: bool = False, headers: Data
         ordered(before).alias("a"), F.when(F.count_if(mid) > 0, banner).alias("banner"), ordered(F.col("zone").isin("tail", "tail_win")).alias("b"),
         F.max("total").cast("long").alias("est_tokens_in"), F.max("n").cast("long").alias("sections_total"), F.sum((~mid).cast("long")).alias("sections_emitted"),
         F.max(F.when(F.col("zone") == "full", "full").when(F.col("zone") == "single", "single-window")).alias("__s"),
+        *[F.max(c).alias(c) for c in carry],
     )
     texts = lambda c: F.transform(c, lambda x: x["shown"])
     head = F.array().cast("array<string>")
-    if headers is not None:
-        g = g.join(headers.select("doc_id", "header"), "doc_id", "left")
+    if "header" in carry:
         head = F.when(F.col("header").isNotNull(), F.array("header")).otherwise(head)
     blocks = F.concat(head, texts("a"), F.when(F.col("banner").isNotNull(), F.array("banner")).otherwise(F.array().cast("array<string>")), texts("b"), F.array(F.lit(FOOTER)))
     g = g.withColumn("text", F.array_join(blocks, "\n"))
     return g.select(
         "doc_id", "text", "est_tokens_in", X.est_tokens(F.col("text")).alias("est_tokens_out"), F.lit(budget).cast("long").alias("budget_tokens"),
-        F.coalesce("__s", F.lit("head+tail")).alias("strategy"), "sections_total", "sections_emitted", F.lit(True).alias("untrusted_notice"),
+        F.coalesce("__s", F.lit("head+tail")).alias("strategy"), "sections_total", "sections_emitted", F.lit(True).alias("untrusted_notice"), *kept,
     )

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..conf import EngineConf
+from ..conf import VERSION, EngineConf
 from ..functions import text as X
 from .sniff import extension, sniff
 
@@ -81,11 +81,17 @@ def _valid(text: str) -> str:
     return text.encode("utf-8", "replace").decode("utf-8")
 
 
-def sections_of(extracted: DataFrame) -> DataFrame:
-    """doc_id, section_idx, anchor, body, fetch_hint; text bodies cleaned inside the JVM."""
-    s = extracted.select("doc_id", "fmt", F.explode("sections").alias("s")).select("doc_id", "fmt", "s.*")
-    body = F.when(F.col("fmt").isin(*sorted(SANITIZED)), X.collapse_blank_runs(X.collapse_repeats(X.clean(F.col("body"))))).otherwise(F.col("body"))
-    return s.select("doc_id", "section_idx", "anchor", body.alias("body"), "fetch_hint")
+def sections_of(extracted: DataFrame, keep: tuple = (), failed: bool = False) -> DataFrame:
+    """doc_id, section_idx, anchor, body, fetch_hint, and the columns `keep`; text bodies cleaned inside the JVM.
+
+    With `failed`, a file without sections keeps one row whose section is null.
+    """
+    each = (F.explode_outer if failed else F.explode)("sections").alias("s")
+    s = extracted.select("doc_id", "fmt", *keep, each)
+    names = [c for c in s.columns if c not in ("doc_id", "fmt", "s")]
+    text = F.col("s.body")
+    body = F.when(F.col("fmt").isin(*sorted(SANITIZED)), X.collapse_blank_runs(X.collapse_repeats(X.clean(text)))).otherwise(text)
+    return s.select("doc_id", "s.section_idx", "s.anchor", body.alias("body"), "s.fetch_hint", *names)
 
 
 def html_to_text(html: str):
@@ -104,5 +110,34 @@ def document_text(spark: SparkSession, path: str, budget: int | None = None, ful
 
     conf = EngineConf.of(spark)
     got = extract(scan(spark, path, conf, force=force), conf, pages, sheets)
-    headers = got.select("doc_id", F.concat(F.lit("[folioflow] file="), F.regexp_extract("doc_id", r"([^/]*)$", 1), F.lit(" format="), F.col("fmt")).alias("header"))
-    return assemble(sections_of(got), budget or conf.budget_tokens, full, headers)
+    return assemble(sections_of(got, (_header(),)), budget or conf.budget_tokens, full, ("header",))
+
+
+def _header():
+    name = F.regexp_extract("doc_id", r"([^/]*)$", 1)
+    return F.concat(F.lit("[folioflow] file="), name, F.lit(" format="), F.col("fmt")).alias("header")
+
+
+def envelopes(spark: SparkSession, path: str, budget: int | None = None, full: bool = False, pages: str | None = None, sheets: str | None = None, force: str | None = None, stats_only: bool = False) -> DataFrame:
+    """doc_id and json, one object per file, in one pass over the files.
+
+    Read files: ok, tool, version, file, meta (the reader's and the plan's), text (not with stats_only).
+    Others: ok false, tool, error, exit_code.
+    """
+    from ..plans.budget import assemble
+
+    conf = EngineConf.of(spark)
+    got = extract(scan(spark, path, conf, force=force), conf, pages, sheets)
+    # Numbers and truth values leave the reader as text; a quote inside a JSON string is escaped, so these match whole values.
+    plain = F.regexp_replace(F.regexp_replace(F.to_json("meta"), r':"(0|[1-9]\d{0,17})"', ":$1"), ':"(T|t)rue"', ":true")
+    about = F.regexp_replace(plain, ':"(F|f)alse"', ":false").alias("about")
+    s = sections_of(got, (_header(), about, "ok", "exit_code", "error"), failed=True)
+    done = assemble(s, budget or conf.budget_tokens, full, ("header", "about", "ok", "exit_code", "error"))
+    plan = F.to_json(F.struct("est_tokens_in", "est_tokens_out", "budget_tokens", "strategy", "sections_total", "sections_emitted", "untrusted_notice"))
+    inner = F.substring(F.col("about"), F.lit(2), F.length("about") - 2)
+    meta = F.parse_json(F.concat(F.lit("{"), inner, F.when(inner != "", ",").otherwise(""), F.substring(plan, 2, 1 << 30)))
+    tool = F.lit("folioflow").alias("tool")
+    file = F.regexp_extract("doc_id", r"([^/]*)$", 1).alias("file")
+    good = F.to_json(F.struct("ok", tool, F.lit(VERSION).alias("version"), file, meta.alias("meta"), *([] if stats_only else ["text"])))
+    bad = F.to_json(F.struct("ok", tool, "error", "exit_code"))
+    return done.select("doc_id", F.when(F.col("ok"), good).otherwise(bad).alias("json"))

@@ -134,6 +134,23 @@ def test_page_and_sheet_selection(spark, tmp_path):
     assert "format=pdf" in ingest.document_text(spark, str(tmp_path), force="nonsense").first().text
 
 
+def test_envelopes(spark, tmp_path):
+    from folioflow.sources import ingest
+
+    (tmp_path / "a.pdf").write_bytes(pdf_of([b'BT (say ":"12"") Tj ET', b""]))
+    (tmp_path / "b.gz").write_bytes(b"\x1f\x8b\x08zz")
+    (tmp_path / "c.yaml").write_text("k: 1")
+    got = {r.doc_id.rsplit("/", 1)[1]: json.loads(r.json) for r in ingest.envelopes(spark, str(tmp_path)).collect()}
+    assert got["a.pdf"]["ok"] and got["a.pdf"]["file"] == "a.pdf" and "page 2/2" in got["a.pdf"]["text"]
+    assert got["a.pdf"]["meta"] | {"est_tokens_in": 0, "est_tokens_out": 0} == {
+        "pages": 2, "engine_note": "builtin", "pages_without_text": 1, "est_tokens_in": 0, "est_tokens_out": 0, "budget_tokens": 24000, "strategy": "full", "sections_total": 2, "sections_emitted": 2, "untrusted_notice": True,
+    }
+    assert got["b.gz"].keys() == {"ok", "tool", "error", "exit_code"} and got["b.gz"]["exit_code"] == 3 and not got["b.gz"]["ok"]
+    assert got["c.yaml"]["meta"]["strategy"] == "full" and "k: 1" in got["c.yaml"]["text"]
+    stats = {r.doc_id.rsplit("/", 1)[1]: json.loads(r.json) for r in ingest.envelopes(spark, str(tmp_path), stats_only=True).collect()}
+    assert "text" not in stats["a.pdf"] and stats["a.pdf"]["meta"] == got["a.pdf"]["meta"]
+
+
 def test_repeated_lines_of_sections(spark):
     """The expression form against the window form, and inside the ingest."""
     from pyspark.sql import functions as F
