@@ -85,7 +85,10 @@ def features(texts: list[bytes]) -> np.ndarray:
             np.maximum.at(longest, w.owner(), length)
             f[:, col["longest_word"]] = longest
         for name, table in _CLASSES.items():
-            f[:, col[name]] = _per_text(table[w.data], cuts) / n
+            sums = _per_text(table[w.data], cuts)
+            if name == "lines":
+                sums[:-1] -= 1  # the line break between two texts of a block is neither's
+            f[:, col[name]] = sums / n
         f[:, col["uppers"]] *= n / chars
         f[:, col["non_ascii"]] = _per_text(_HIGH[w.data], cuts) / chars
         f[:, col["letters"]] = _per_text(_ASCII_LETTER[w.data], cuts) / chars
