@@ -76,6 +76,16 @@ def columns_of(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterat
             yield batch.slice(i, step)
 
 
+def other_columns(df: DataFrame, *replaced: str) -> tuple[list[str], DataFrame]:
+    """Names of df's columns but those named as one of `replaced`, in any case; df of these, as c0, c1, ...
+
+    Arrow maps can't take every name (dots, equal but for case); toDF gives the names back.
+    """
+    gone = {c.lower() for c in replaced}
+    names = [c for c in df.columns if c.lower() not in gone]
+    return names, df.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"c{k}") for k, c in enumerate(names)])
+
+
 def crc_fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of doc_id as text, modulo; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -66,17 +66,17 @@ class Template:
         np.cumsum(~_IN_NUMBER[data], out=odd[1:])
         number = _DIGIT[data[first]] & (odd[last] == odd[first])
         unit = np.isin(self.value, unit_hashes())
+        offsets = np.zeros(len(texts) + 1, dtype=np.int64)
+        np.cumsum([len(t) + 1 for t in texts], out=offsets[1:])
+        self.first = np.searchsorted(first, offsets)
+        self.count = np.diff(self.first)
         unit[1:] &= number[:-1]
-        unit[:1] = False
+        unit[self.first[:-1][self.count > 0]] = False  # what another text of the block ends with is no number before
         name = _CAPITAL[data[first]]
         plain = np.where(number, _NUMBER, np.where(unit, _UNIT, self.value))
         self.slot = number | unit | name
         self.kind = np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0)))
         self.readings = (np.where(name & ~number & ~unit, _NAME, plain), plain)
-        offsets = np.zeros(len(texts) + 1, dtype=np.int64)
-        np.cumsum([len(t) + 1 for t in texts], out=offsets[1:])
-        self.first = np.searchsorted(first, offsets)
-        self.count = np.diff(self.first)
 
     def starts(self, length: int) -> np.ndarray:
         place = np.arange(len(self.value)) - np.repeat(self.first[:-1], self.count)
@@ -186,16 +186,17 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_tex
     """docs with a column `into`: array of (item_id, matched_words, item_words, exact) per contained item.
 
     Nulls: a null text contains nothing, a null item text is skipped; null ids pass through.  Repeated
-    rows are searched each; repeated items count once.  An empty benchmark gives empty arrays.
+    rows are searched each; repeated items count once.  An empty benchmark gives empty arrays.  A column
+    of docs that is named as `into`, in any case, is replaced; all others pass through.
     """
     spark = docs.sparkSession
-    names = docs.columns
-    out = docs.select(*names, F.array().cast(_HITS).alias(into))
+    names, plain = base.other_columns(docs, into)
+    out = plain.withColumn("hits", F.array().cast(_HITS))
     k = names.index(text)
     for items in _chunks(benchmark, item_text, item_id):
         shared = spark.sparkContext.broadcast(Index(items, window))
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, columns=out.columns):
             np.seterr(over="ignore")
             for batch in batches:
                 for part in base.columns_of([batch]):
@@ -203,10 +204,10 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_tex
                     for i, j in blocks(texts):
                         for d, found in _hits(texts[i:j], shared.value, window).items():
                             before[i + d] = (before[i + d] or []) + found
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(before, pa.list_(_HIT))], [*names, into])
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(before, pa.list_(_HIT))], columns)
 
         out = out.mapInArrow(run, out.schema)
-    return out
+    return out.toDF(*names, into)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", **kwargs) -> DataFrame:

@@ -244,9 +244,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     """All columns of docs with score (0 to 1) and predicted (1 if score >= threshold).
 
     Nulls: a null text scores as one without words; other nulls pass through.  Repeated rows score
-    alike.  An empty table gives no rows.  Columns named score or predicted are replaced.
+    alike.  An empty table gives no rows.  Columns named score or predicted, in any case, are replaced.
     """
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    names, plain = base.other_columns(docs, "score", "predicted")
+    columns = [*plain.columns, "score"]
     k = names.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -255,10 +256,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         for batch in batches:
             for part in base.columns_of([batch]):
                 s = shared.value.score(features(base.as_bytes(part.column(k))))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], [*names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], columns)
 
-    scored = docs.select(*names).withColumn("score", F.lit(0.0))
-    return docs.select(*names).mapInArrow(run, scored.schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = plain.mapInArrow(run, plain.withColumn("score", F.lit(0.0)).schema).toDF(*names, "score")
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
