@@ -42,7 +42,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item, literal or re-parameterised."""
-    return decontaminate.annotate(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark")).where(F.size("hits") == 0).select(*COLUMNS)
+    return decontaminate.annotate(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"), literal=True).where(F.size("hits") == 0).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 Words lose outer punctuation and the case of A-Z; words without a letter or digit are dropped.
 Numbers, units (after a number) and names (capitalised words) become typed placeholders.  Windows of
 template words are hash-joined to the windows of all benchmark items, in two readings: with names as
-placeholders and with names as plain words (which also finds texts whose case was changed).  Matched
+placeholders and with names as plain words (which also finds texts whose case was changed).  Both need
+enough plain words.  With `literal`, as the queries have it, a third reading takes all words by value, in
+every window and in items of any length, so that a verbatim copy is always found.  Matched
 windows of one alignment of an item are then checked for consistent slots: within each type, equal
 item values stand for equal document values and different ones for different ones.  What remains is
 a literal or re-parameterised copy of at least one window.
@@ -24,9 +26,9 @@ from . import base
 from .wordhash import blocks, spans, window_hashes, word_hashes, _LOWER
 
 WINDOW = 13
-#: Items of fewer words than this identify nothing and are not searched.
+#: Items of fewer words than this are searched by value only, if at all: their templates identify nothing.
 SHORTEST = 5
-#: Plain words that a window needs, as a share of its words.
+#: Plain words that a window needs in the readings with placeholders, as a share of its words.
 PLAIN = 0.5
 #: Benchmark windows of one broadcast.
 CHUNK = 2_000_000
@@ -76,7 +78,7 @@ class Template:
         plain = np.where(number, _NUMBER, np.where(unit, _UNIT, self.value))
         self.slot = number | unit | name
         self.kind = np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0)))
-        self.readings = (np.where(name & ~number & ~unit, _NAME, plain), plain)
+        self.readings = (np.where(name & ~number & ~unit, _NAME, plain), plain, self.value)
 
     def starts(self, length: int) -> np.ndarray:
         place = np.arange(len(self.value)) - np.repeat(self.first[:-1], self.count)
@@ -91,22 +93,26 @@ def unit_hashes() -> np.ndarray:
 class Index:
     """Windows of some benchmark items, ready to be searched; at most CHUNK windows or one item."""
 
-    def __init__(self, items: list[tuple[int | None, str]], window: int):
+    def __init__(self, items: list[tuple[int | None, str]], window: int, literal: bool):
         texts = [(t or "").encode() for _, t in items]
         t = Template(texts)
         self.ids = [i for i, _ in items]
         self.first, self.count, self.value, self.kind = t.first, t.count, t.value, t.kind
         self.windows = {}
-        for length in sorted({min(window, int(n)) for n in t.count if n >= SHORTEST}):
+        for length in sorted({min(window, int(n)) for n in t.count if n}):
             at = t.starts(length)
             item = np.searchsorted(t.first, at, side="right") - 1
-            at = at[(t.count[item] == length) | (length == window)]
-            for reading in (0, 1):
-                slots = np.concatenate([[0], np.cumsum(t.slot if reading == 0 else t.slot & (t.kind != 3))])
-                use = at[(slots[at + length] - slots[at]) <= (1 - PLAIN) * length]
-                h = window_hashes(t.readings[reading], use, length)
-                order = np.argsort(h, kind="stable")
-                self.windows[length, reading] = (h[order], use[order])
+            keep = (t.count[item] == length) | (length == window)
+            at, long = at[keep], t.count[item[keep]] >= SHORTEST
+            for reading in (0, 1, 2) if literal else (0, 1):
+                use = at
+                if reading < 2:
+                    slots = np.concatenate([[0], np.cumsum(t.slot if reading == 0 else t.slot & (t.kind != 3))])
+                    use = at[long & (slots[at + length] - slots[at] <= (1 - PLAIN) * length)]
+                if len(use):
+                    h = window_hashes(t.readings[reading], use, length)
+                    order = np.argsort(h, kind="stable")
+                    self.windows[length, reading] = (h[order], use[order])
 
 
 def _expand(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,9 +188,11 @@ def _chunks(benchmark: DataFrame, text: str, id_col: str):
         yield held
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", window: int = WINDOW, into: str = "hits") -> DataFrame:
+def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", window: int = WINDOW, into: str = "hits", literal: bool = False) -> DataFrame:
     """docs with a column `into`: array of (item_id, matched_words, item_words, exact) per contained item.
 
+    literal also finds verbatim copies that are too short or too full of slots for their templates.
+
     Nulls: a null text contains nothing, a null item text is skipped; null ids pass through.  Repeated
     rows are searched each; repeated items count once.  An empty benchmark gives empty arrays.  A column
     of docs that is named as `into`, in any case, is replaced; all others pass through.
@@ -194,7 +202,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_tex
     out = plain.withColumn("hits", F.array().cast(_HITS))
     k = names.index(text)
     for items in _chunks(benchmark, item_text, item_id):
-        shared = spark.sparkContext.broadcast(Index(items, window))
+        shared = spark.sparkContext.broadcast(Index(items, window, literal))
 
         def run(batches, shared=shared, columns=out.columns):
             np.seterr(over="ignore")

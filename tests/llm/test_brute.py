@@ -4,7 +4,7 @@ import random
 
 import brute
 import corpus_pipeline
-from folioflow.llm import base, decontaminate, quality_classifier, toxicity
+from folioflow.llm import base, decontaminate, quality_classifier, queries, toxicity
 
 UNITS = set(decontaminate.UNITS)
 
@@ -26,6 +26,20 @@ def test_decontamination_against_all_pairs_of_windows(spark):
     assert got == want and len(want) > 12
 
 
+def test_verbatim_copies_of_short_and_slot_heavy_items_are_found(spark, tmp_path):
+    """Items whose templates say too little are found by value; other values are another item."""
+    row = " ".join(str(k * k) for k in range(20, 45))
+    items = ["Compute 12 + 7 * 3 - 4", "What is 12 + 7 ?", "Find the sum of this table of values by rows and columns : " + row, row, "42", "Meters of rope are cut by the sailor"]
+    held = ["lead in. Compute 12 + 7 * 3 - 4, tail", "so what is 12 + 7 ? Tell", "the table " + " ".join(row.split()[:13]) + " end", "it is 42.", "page 12 Meters of rope are cut by the sailor"]
+    other = ["compute 13 + 8 * 3 - 4", "what is 13 + 7 ?", " ".join(str(k * k + 1) for k in range(20, 45)), "it is 43", "page 12 of rope"]
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(held + other)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.item_id): (r.matched_words, r.exact) for r in queries.op7_decontaminate(spark, str(tmp_path)).collect()}
+    assert got == {(0, 0): (5, True), (1, 1): (4, True), (2, 2): (13, True), (2, 3): (13, True), (3, 4): (1, True), (4, 5): (8, True)}
+    assert sorted(r.doc_id for r in corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()) == [5, 6, 7, 8, 9]
+
+
 def test_a_text_does_not_see_its_neighbours(spark):
     """Texts share a block: a number at the end of one is not before the unit that begins the next."""
     item = "5 meters of rope are cut by the sailor before the storm comes in again"
