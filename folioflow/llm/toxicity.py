@@ -1,6 +1,6 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A text is read as overlapping windows of words.  Each word enters as the sum of two projections: its
+A text is read as overlapping windows of words; a run of over 64 bytes is several.  Each word enters as the sum of two projections: its
 own embedding (if it is in the learned vocabulary) and the mean embedding of its character trigrams.
 A GRU runs over the window in either direction, attention pools its states, and a logistic unit
 scores the window.  A text's score is its highest window's, calibrated on whole training texts.
@@ -29,6 +29,8 @@ POSITIVE, NEGATIVE, MOST_WORDS = 1500, 2500, 1024
 #: Random windows of clean texts in training, about.
 CLEAN_WINDOWS = 6000
 THRESHOLD = 0.3
+#: Bytes of a word; a longer run is several.
+PIECE = 64
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 TRIGRAMS = 4096
 _BATCH = 2048
@@ -46,6 +48,10 @@ class Tokens:
         first, last = np.searchsorted(at, start), np.searchsorted(at, end) - 1
         ok = last >= first
         first, last = at[first[ok]], at[last[ok]] + 1
+        # Longer runs, as of scripts without spaces, are words of PIECE bytes and a rest.
+        n = -(-(last - first) // PIECE)
+        first = np.repeat(first, n) + PIECE * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        last = np.minimum(first + PIECE, np.repeat(last, n))
         offsets = np.zeros(len(texts) + 1, dtype=np.int64)
         np.cumsum([len(t) + 1 for t in texts], out=offsets[1:])
         self.first = np.searchsorted(first, offsets)
@@ -53,7 +59,7 @@ class Tokens:
         self.hash, where, self.type = np.unique(word_hashes(data, first, last), return_index=True, return_inverse=True)
         first, last = first[where], last[where]
         # Trigrams of "^word$": one per byte of the word, the bytes beyond its ends being marks.
-        n = np.minimum(last - first, 64)
+        n = last - first
         self.tri_first = np.cumsum(n) - n
         owner = np.repeat(np.arange(len(n)), n)
         p = np.repeat(first - self.tri_first, n) + np.arange(n.sum())

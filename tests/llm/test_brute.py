@@ -68,6 +68,20 @@ def test_scores_do_not_depend_on_the_block(sf):
     assert np.allclose(model.score(texts), np.concatenate([model.score([t]) for t in texts]), atol=1e-5)
 
 
+def test_long_runs_are_scored_to_their_end():
+    """Every byte of a run without spaces is in some word, so the tail of a run counts."""
+    import numpy as np
+
+    np.seterr(over="ignore")
+    run = "".join(chr(0x4E00 + k) for k in range(200)).encode()
+    t = toxicity.Tokens([b"a " + run, b"", b"x" * 64 + b" b", run])
+    assert t.count.tolist() == [11, 0, 2, 10] and int(t.tri_count[t.type].sum()) == 1 + 600 + 64 + 1 + 600
+    texts = [b"plain words here %d" % (k % 7) for k in range(60)] + [b"plain vile words %d" % (k % 7) for k in range(60)]
+    model = toxicity.fit(texts, np.arange(120) // 60, np.ones(120), epochs=1, least=2)
+    clean, vile = b"_".join([b"plain"] * 40), b"_".join([b"plain"] * 20 + [b"vile"] * 20)
+    assert model.raw([clean])[0] != model.raw([vile])[0]
+
+
 def test_clashing_columns_are_replaced_or_passed_on(spark):
     rows = [(1, "some text of a few plain words", "x", "y", 2.0, "z", "dot")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, Hits string, SCORE string, predicted double, item_id string, `a.b` string")
