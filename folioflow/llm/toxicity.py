@@ -3,7 +3,8 @@
 A text is read as overlapping windows of words; a run of over 64 bytes is several.  Each word enters as the sum of two projections: its
 own embedding (if it is in the learned vocabulary) and the mean embedding of its character trigrams.
 A GRU runs over the window in either direction, attention pools its states, and a logistic unit
-scores the window.  A text's score is its highest window's, calibrated on whole training texts.
+scores the window.  A text's score is its highest window's over the whole text, calibrated on
+training texts that are cut as for training: to MOST_WORDS words from all over the text.
 
 Training picks, in each toxic text of a bounded sample, the windows that hold its most telling words
 (by smoothed log odds), and in clean texts the same and random ones.
