@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,17 +19,31 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_GROUPS = 1000
 
 
+#: Bits of a bitmap: a fixed size, whatever the input's.
+BITS = 1 << 25
+_scratch: list[list[str]] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir).
+
+    Where it is unset, a local master gets a temporary folder of its own; any other master is refused,
+    since executors would each write to their own disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="folioflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _scratch:
+        made.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -37,11 +53,54 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Collects the scratch paths made inside; remove(spark, paths) deletes them when no result needs them."""
+    made: list[str] = []
+    _scratch.append(made)
+    try:
+        yield made
+    finally:
+        _scratch.remove(made)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables.  Results that still read them must be written first."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
+def bit_of(*keys: str | Column) -> Column:
+    """The bit that a key has in a bitmap."""
+    return F.pmod(F.xxhash64(*keys), F.lit(BITS))
+
+
+def bitmap(bits: DataFrame) -> np.ndarray:
+    """The set of a one-column table of bit_of() numbers, as BITS bits in 64-bit words.
+
+    A test by it lets every member pass, and of the others as many as share a bit with one.  Its size
+    is fixed, so it may be broadcast; with very many members it lets all pass, which costs time alone.
+    """
+    b = bits.select(F.col(bits.columns[0]).alias("b"))
+    words = b.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toArrow()
+    out = np.zeros(BITS >> 6, dtype=np.uint64)
+    out[words.column("w").to_numpy()] = words.column("v").to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(words: np.ndarray, bits: pa.Array) -> np.ndarray:
+    b = bits.to_numpy(zero_copy_only=False)
+    return ((words[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
 def lookup(left: DataFrame, groups: DataFrame, key: str, size: str, row_id: Column) -> DataFrame:
     """Left join `groups` (one row per key, `size` rows of `left` each) to `left`; no key is hot.
 
     The HOT_GROUPS largest groups are broadcast; a row that found its group there, or has a null key,
-    is dealt by its own id, so the shuffled join only ever gathers small groups.
+    is dealt by its own id.  Any other group holds at most one part in HOT_GROUPS of all rows; where
+    that is still much, the adaptive join splits its partition, since `groups` is a plain table.
     """
     values = [c for c in groups.columns if c not in (key, size)]
     kinds = dict(groups.dtypes)
