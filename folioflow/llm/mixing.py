@@ -4,7 +4,7 @@ The mix is a sequence of slots, one block of equally many words each.  Slot k ma
 point frac(k * phi) through the cumulative targets to a source, so every stretch of the schedule has
 the sources in nearly their target shares.  Slots are ranked within their source, and rank r takes
 block r of the source's shuffled documents laid end to end, epoch after epoch.  The last block of a
-source is cut where its target is reached.
+source is cut where its target is reached; the sequence goes on until all sources have theirs.
 
 Documents are shuffled by a hash of their id.  Their places on the source's line are prefix sums in
 two levels - hash buckets within a source, then documents within a bucket - so no source, however
@@ -24,6 +24,8 @@ SLOTS = 1 << 20
 BUCKETS = 4096
 #: No document is taken more often than this.
 REPEATS = 3
+#: Sources of under FEW blocks get points from a sequence FAR times as long as the schedule.
+FEW, FAR = 8, 16
 _PHI = 0.6180339887498949
 _CELLS = 4096
 
@@ -58,33 +60,40 @@ def _places(rows: DataFrame, sources: DataFrame) -> DataFrame:
     named = sources.select("sid", "source_size", "target", F.coalesce("source", F.lit("")).alias("__name"), F.col("source").isNull().alias("__none"))
     keyed = rows.withColumn("__name", F.coalesce("source", F.lit(""))).withColumn("__none", F.col("source").isNull())
     r = keyed.join(named, ["__name", "__none"]).drop("__name", "__none")
-    h = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("mix"))
+    h = F.xxhash64(F.coalesce("doc_id", "mark", F.lit(0)), F.lit("mix"))
     r = r.withColumn("__h", h).withColumn("bucket", F.pmod("__h", F.lit(BUCKETS)).cast("int"))
     sums = r.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     first = sums.select("sid", "bucket", (F.sum("n").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("n")).alias("__first"))
-    within = Window.partitionBy("sid", "bucket").orderBy("__h", "doc_id", "size")
+    within = Window.partitionBy("sid", "bucket").orderBy("__h", "doc_id", "size", "mark")
     r = r.withColumn("place", F.row_number().over(within)).withColumn("__run", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     r = r.join(first, ["sid", "bucket"])
     return r.withColumn("start", F.col("__first") + F.col("__run") - F.col("size")).drop("__h", "__run", "__first")
 
 
 def schedule(sources: DataFrame, total: int, block: int) -> DataFrame:
-    """slot, sid, rank: the order in which blocks of sources are read; about total / block rows."""
+    """slot, sid, rank: the order in which blocks of sources are read; about total / block rows.
+
+    A source's slots are the first points of the sequence that fall on it, as many as its target has
+    blocks, so no slot belongs to two.  Shares come out so evenly that about total / block points
+    suffice; the sequence is followed twice as far, and for sources of under FEW blocks FAR times as
+    far.  A source whose target is a small part of one block may still get no slot.
+    """
     spark = sources.sparkSession
     n = -(-total // block) if total else 0
     upto = Window.orderBy("sid")
-    cuts = sources.select("sid", (F.sum("target").over(upto) / F.sum("target").over(Window.partitionBy(F.lit(0)))).alias("high"))
-    cuts = cuts.select("sid", F.coalesce(F.lag("high").over(upto), F.lit(0.0)).alias("low"), "high").where("high > low")
+    cuts = sources.select("sid", F.ceil(F.round("target") / block).cast("long").alias("blocks"), (F.sum("target").over(upto) / F.sum("target").over(Window.partitionBy(F.lit(0)))).alias("high"))
+    cuts = cuts.select("sid", "blocks", F.coalesce(F.lag("high").over(upto), F.lit(0.0)).alias("low"), "high").where("high > low")
     cell = lambda x: F.least(F.floor(x * _CELLS), F.lit(_CELLS - 1))
-    cuts = cuts.select("sid", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
-    point = F.col("id") * F.lit(_PHI)
-    points = spark.range(n).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("x")).withColumn("cell", cell(F.col("x")))
-    mapped = points.join(cuts, "cell").where((F.col("x") >= F.col("low")) & (F.col("x") < F.col("high")))
-    ranked = mapped.select("slot", "sid", (F.row_number().over(Window.partitionBy("sid").orderBy("slot")) - 1).cast("long").alias("rank"))
-    needed = sources.withColumn("blocks", F.ceil(F.round("target") / block).cast("long")).where("blocks > 0")
-    needed = needed.select("sid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("rank"))
-    # The points give a source a few slots more or less than its target has blocks: cut, or filled up at the end.
-    return needed.join(ranked, ["sid", "rank"], "left").select(F.coalesce("slot", F.lit(n) + F.col("rank")).alias("slot"), "sid", "rank")
+    cuts = cuts.select("sid", "blocks", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
+
+    def mapped(first: int, last: int, onto: DataFrame) -> DataFrame:
+        point = F.col("id") * F.lit(_PHI)
+        points = spark.range(first, last).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("x")).withColumn("cell", cell(F.col("x")))
+        return points.join(onto, "cell").where((F.col("x") >= F.col("low")) & (F.col("x") < F.col("high"))).select("slot", "sid", "blocks")
+
+    all_ = mapped(0, 2 * n, cuts).union(mapped(2 * n, FAR * n, cuts.where(F.col("blocks") < FEW)))
+    ranked = all_.withColumn("rank", (F.row_number().over(Window.partitionBy("sid").orderBy("slot")) - 1).cast("long"))
+    return ranked.where(F.col("rank") < F.col("blocks")).select("slot", "sid", "rank")
 
 
 def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", weights: tuple[float, ...] = (1.0, 2.0, 3.0), slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
@@ -92,13 +101,14 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", weights: tu
 
     pieces: slot, sid, rank, doc_id, epoch, first, last - which words of which document a slot reads
     (slot and epoch are null for a document that no slot reads).  documents: doc_id, size, source_size,
-    target, taken, source for every row of docs.
+    target, taken, source, first_slot and n_slots (of the slots that read it) for every row of docs.
 
-    Nulls: a null text has size 0; null sources are one source, last in order; null ids are shuffled
-    together.  Rows that repeat an id are separate documents.  A source of size 0 has target 0.  No
+    Nulls: a null text has size 0; null sources are one source, last in order; rows without an id are
+    shuffled by a hash of their text.  Rows that repeat an id are separate documents.  A source of size 0 has target 0.  No
     rows: no rows.  Reruns agree: the order depends on ids and sizes alone.
     """
-    thin = base.materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col(text)).alias("size")), "sizes")
+    mark = F.when(F.col(id_col).isNull(), F.xxhash64(text)).alias("mark")
+    thin = base.materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col(text)).alias("size"), mark), "sizes")
     sources = base.materialize(targets(thin.select("source", "size"), weights), "sources")
     total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     block = max(1, -(-total // slots))
@@ -114,8 +124,8 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", weights: tu
     pieces = laid.select("doc_id", "source", "size", "source_size", "target", "sid", "bucket", "place", "rank", F.col("e.epoch").alias("epoch"), (low - F.col("e.at")).alias("first"), (high - F.col("e.at")).alias("last"))
     pieces = pieces.join(slot, ["sid", "rank"], "left")
     taken = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("last") - F.col("first"))), F.lit(0)).cast("long")
-    documents = pieces.groupBy("sid", "bucket", "place", "doc_id", "source", "size", "source_size", "target").agg(taken.alias("taken"))
+    documents = pieces.groupBy("sid", "bucket", "place", "doc_id", "source", "size", "source_size", "target").agg(taken.alias("taken"), F.min("slot").alias("first_slot"), F.count("slot").alias("n_slots"))
     return (
         pieces.select("slot", "sid", "rank", "doc_id", "epoch", "first", "last"),
-        documents.select("doc_id", "size", "source_size", "target", "taken", "source"),
+        documents.select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot", "n_slots"),
     )
