@@ -5,7 +5,8 @@ are revisit records that name it.  Payloads meet by digest in a lookup that stan
 
 Reading: a task gets a byte range.  It scans for the gzip magic, validates each candidate by decoding
 its first bytes as a WARC header, and owns the records that start inside its range; the last one is
-read past the range's end.  No task needs what another has found, and any split size gives the same rows.
+read past the range's end.  What a task took for records inside the last record of an earlier range - a
+payload that holds archived records itself - is left out afterwards, so any split size gives the same rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +29,8 @@ MAGIC = b"\x1f\x8b\x08"
 #: Payloads below this many bytes are always stored.
 SMALLEST = 1000
 SPLIT = 8 << 20
+#: A member that inflates beyond this many bytes counts as damaged: a row can't hold it.
+LARGEST = 1 << 30
 _CHUNK = 1 << 20
 _PROBE = 1 << 12
 
@@ -64,6 +67,7 @@ def with_references(pages: DataFrame) -> DataFrame:
     p = p.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     p = p.withColumn("shared", F.when(F.octet_length("html") >= SMALLEST, F.col("digest")))
     groups = p.where(F.col("shared").isNotNull()).groupBy("shared").agg(F.count("*").alias("n"), F.max("page_id").alias("keeper")).where("n > 1")
+    groups = base.materialize(groups, "shared")
     found = base.lookup(p, groups, "shared", "n", F.coalesce("page_id", F.lit(0)))
     return found.withColumn("refers_to", F.when(~F.col("keeper").eqNullSafe(F.col("page_id")), F.col("keeper"))).drop("shared", "keeper")
 
@@ -138,20 +142,23 @@ def _is_record(window: _Window, at: int) -> bool:
 
 def _inflate(window: _Window, at: int) -> tuple[bytes, int]:
     """The member at an offset and where it ends; a damaged one raises zlib.error."""
-    unpack, parts = zlib.decompressobj(31), []
+    unpack, parts, size = zlib.decompressobj(31), [], 0
     while not unpack.eof:
         window.upto(at + 1)
         piece = bytes(window.data[at - window.start : at - window.start + _CHUNK])
         if not piece:
             raise zlib.error("the file ends inside a member")
-        parts.append(unpack.decompress(piece))
+        parts.append(unpack.decompress(piece, LARGEST + 1 - size))
+        size += len(parts[-1])
+        if size > LARGEST:
+            raise zlib.error("the member inflates beyond the cap")
         at += len(piece) - len(unpack.unused_data)
         window.drop(at)
     return b"".join(parts), at
 
 
-def members(handle, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, content) of the records that start in [start, end)."""
+def members(handle, size: int, start: int, end: int) -> Iterator[tuple[int, int, bytes | None, str | None]]:
+    """(offset, end, content, None) of the records that start in [start, end); (offset, offset, None, why) of damaged ones."""
     window, at = _Window(handle, start, size), start
     while at < end:
         window.upto(min(end + len(MAGIC), at + _CHUNK))
@@ -170,11 +177,12 @@ def members(handle, size: int, start: int, end: int) -> Iterator[tuple[int, byte
             continue
         try:
             content, after = _inflate(window, at)
-        except zlib.error:  # a member that is cut or damaged: go on behind its magic
+        except zlib.error as e:  # a member that is cut or damaged: go on behind its magic
+            yield at, at, None, str(e)
             window = _Window(handle, at + 1, size)
             at += 1
             continue
-        yield at, content
+        yield at, after, content, None
         at = after
 
 
@@ -185,7 +193,19 @@ def parse(content: bytes) -> tuple[dict[str, str], bytes]:
     for line in head.split(b"\r\n")[1:]:
         name, _, value = line.partition(b":")
         headers[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
-    return headers, rest[: int(headers.get("content-length", len(rest)))]
+    length = headers.get("content-length", "")
+    return headers, rest[: int(length)] if re.fullmatch(r"[0-9]{1,18}", length) else rest
+
+
+def read_digest(value: str) -> str | None:
+    """'sha1:BASE32' or hex, with or without a label, as bare lower-case hex; null if it is neither."""
+    digest = value.rpartition(":")[2].strip()
+    if re.fullmatch(r"(?:[0-9a-fA-F]{2}){16,64}", digest) and len(digest) in (32, 40, 64, 96, 128):
+        return digest.lower()
+    try:
+        return base64.b32decode(digest.upper() + "=" * (-len(digest) % 8)).hex() or None
+    except ValueError:
+        return None
 
 
 _RECORD = T.StructType(
@@ -199,16 +219,21 @@ _RECORD = T.StructType(
         T.StructField("payload_digest", T.StringType()),
         T.StructField("payload_bytes", T.LongType()),
         T.StructField("payload", T.BinaryType()),
+        T.StructField("error", T.StringType()),
     ]
 )
 
 
-def read_archives(files: DataFrame, split: int = SPLIT, payload: bool = True) -> DataFrame:
+def read_archives(files: DataFrame, split: int = SPLIT, payload: bool = True, damaged: bool = False) -> DataFrame:
     """Records of WARC files (files: uri, bytes), one task per byte range of `split` bytes.
 
     payload_digest is bare lower-case hex; for a revisit it and payload_bytes are those of the payload
     referred to, and payload is null.  With payload=False the payload is not returned.  Other records
     than response and revisit are returned with their block as payload.
+    Headers: a missing one is null; a length that is no number is that of what follows, a digest that
+    is neither base 32 nor hex is null.  Members that are cut, damaged or beyond LARGEST are skipped;
+    with `damaged` each gives a row that has its uri, offset and error alone.  Files without bytes or
+    records, and no files, give no rows; a file listed twice is read twice.
     """
     cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split).cast("long")))
     ranges = files.select("uri", "bytes", cuts.alias("start"))
@@ -221,19 +246,28 @@ def read_archives(files: DataFrame, split: int = SPLIT, payload: bool = True) ->
                 filesystem, path = _open_fs(uri)
                 rows, held = [], 0
                 with filesystem.open_input_file(path) as handle:
-                    for offset, content in members(handle, size, start, min(start + split, size)):
-                        rows.append(_row(uri, offset, content, payload))
-                        held += len(content)
+                    for offset, end, content, error in members(handle, size, start, min(start + split, size)):
+                        row = {"uri": uri, "offset": offset, "error": error} if content is None else _row(uri, offset, content, payload)
+                        rows.append(row | {"start": start, "end": end})
+                        held += len(content or b"")
                         if held >= 4 << 20 or len(rows) >= 2000:
                             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
                             rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    return ranges.mapInArrow(run, _RECORD)
+    schema = T.StructType([*_RECORD.fields, T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    rows = base.materialize(ranges.mapInArrow(run, schema), "records")
+    # One row per range: how far the ranges before it reach, where that is beyond its first record.
+    reach = F.max("last").over(Window.partitionBy("uri").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    spans = rows.groupBy("uri", "start").agg(F.min("offset").alias("first"), F.max("end").alias("last"))
+    inside = base.materialize(spans.withColumn("reach", reach).where("first < reach").select("uri", "start", "reach"), "inside")
+    if inside.limit(1).count():
+        rows = rows.join(inside, ["uri", "start"], "left").where(F.col("reach").isNull() | (F.col("offset") >= F.col("reach")))
+    return rows.where(F.lit(damaged) | F.col("error").isNull()).select(*_RECORD.fieldNames())
 
 
-_ARROW = pa.schema([(f.name, {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}[f.dataType.simpleString()]) for f in _RECORD])
+_ARROW = pa.schema([(f.name, {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}[f.dataType.simpleString()]) for f in _RECORD] + [("start", pa.int64()), ("end", pa.int64())])
 
 
 def _row(uri: str, offset: int, content: bytes, payload: bool) -> dict:
@@ -242,10 +276,9 @@ def _row(uri: str, offset: int, content: bytes, payload: bool) -> dict:
     if "application/http" in headers.get("content-type", ""):
         head, _, body = block.partition(b"\r\n\r\n")
         m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", head)
-        length = int(m[1]) if m else None
+        length = int(m[1]) if m and len(m[1]) < 19 else None
     if kind == "revisit":
-        digest = headers.get("warc-payload-digest", "").rpartition(":")[2]
-        digest, n, body = base64.b32decode(digest).hex() if digest else None, length, None
+        digest, n, body = read_digest(headers.get("warc-payload-digest", "")), length, None
     else:
         digest, n = hashlib.sha1(body).hexdigest(), len(body)
     strip = lambda x: x.strip("<>") if x is not None else None
