@@ -9,9 +9,9 @@ CASE expression: the first rule that holds rejects, no rule keeps.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +19,6 @@ from . import base
 
 #: Bound of the labelled sample (rows, chosen by hash of the id) that rules are learned from.
 SAMPLE = 20_000
-_SYMBOLS = "#*$%&|<>"
 
 
 def let(value: Column, body) -> Column:
@@ -27,8 +26,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _count(text: Column, chars: str) -> Column:
+    """Characters of a class; counting matches is several times faster than translating the text."""
+    return F.regexp_count(text, F.lit(f"[{chars}]")).cast("long")
+
+
 def n_symbols(text: Column) -> Column:
-    return (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long")
+    return _count(text, r"#*$%&|<>")
 
 
 def n_dup_lines(text: Column) -> Column:
@@ -41,63 +45,73 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != "")
 
 
-def n_repeat_words(words: Column) -> Column:
-    """Words inside three-word windows that occur twice or more, first ones included.
+#: A window's key: 32 bits of its words' hash above its position.
+_POSITION = (1 << 32) - 1
+
+
+def _maybe_repeated(keys: Column) -> Column:
+    """Positions whose hash a neighbour shares: all windows that occur twice, and few others."""
+    upper = lambda k: F.shiftright(k, 32)
+    same = lambda k, i: (upper(F.get(keys, i - 1)) == upper(k)) | (upper(F.get(keys, i + 1)) == upper(k))
+    return F.transform(F.filter(keys, lambda k, i: F.coalesce(same(k, i), F.lit(False))), lambda k: k.bitwiseAND(F.lit(_POSITION)).cast("int"))
+
+
+def _repeated(words: Column, places: Column) -> Column:
+    """Of these positions those whose three words do occur at another, in order.
 
     Each window is written as "a b c\\nposition" and sorted as a string: equal windows become
     neighbours (words hold no white space), so no window is compared with all others.
     """
+    text = lambda i: F.concat(words[i], F.lit(" "), words[i + 1], F.lit(" "), words[i + 2], F.lit("\n"), i.cast("string"))
+    window = lambda k: F.substring_index(k, "\n", 1)
+    same = lambda all_, k, i: F.coalesce((window(F.get(all_, i - 1)) == window(k)) | (window(F.get(all_, i + 1)) == window(k)), F.lit(False))
+    kept = let(F.sort_array(F.transform(places, text)), lambda s: F.filter(s, lambda k, i: same(s, k, i)))
+    return F.sort_array(F.transform(kept, lambda k: F.substring_index(k, "\n", -1).cast("int")))
+
+
+def _covered(places: Column) -> Column:
+    """Words in the three-word windows at ascending positions: each adds what the one before left out."""
+    return F.aggregate(
+        places, F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")),
+        lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"],
+    )
+
+
+def n_repeat_words(words: Column) -> Column:
+    """Words inside three-word windows that occur twice or more, first ones included.
+
+    Hashes name the few windows that may be repeated; their words decide.  Every step is bound once:
+    what stands inside a lambda is evaluated anew for each element, and a filter above is pushed
+    through columns by writing them out.
+    """
+    three = lambda h: F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
+    keys = lambda h: F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, 32) + i))
+    found = lambda w, h: let(keys(h), lambda k: let(_maybe_repeated(k), lambda m: _covered(_repeated(w, m))))
+    count = lambda w, h: F.when(F.size(F.array_distinct(h)) < F.size(h), found(w, h)).otherwise(F.lit(0).cast("long"))
+    return let(words, lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda h1: let(three(h1), lambda h3: count(w, h3))))
+
+
+def statistics(docs: DataFrame, text: str = "text", id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ratios of them and `carry` for every row.
 
-    def flagged(keys: Column) -> Column:
-        return let(
-            F.transform(keys, lambda k: F.substring_index(k, "\n", 1)),
-            lambda w: F.filter(
-                F.transform(
-                    keys,
-                    lambda k, i: F.when((F.get(w, i - 1) == w[i]) | (F.get(w, i + 1) == w[i]), F.substring_index(k, "\n", -1).cast("int")),
-                ),
-                lambda p: p.isNotNull(),
-            ),
-        )
-
-    def covered(places: Column) -> Column:
-        # each place adds the part of its three words that the place before left out
-        return F.aggregate(
-            F.array_sort(places), F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")),
-            lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")),
-            lambda a: a["n"],
-        )
-
-    def sort_path(w: Column) -> Column:
-        keys = F.transform(
-            F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat(w[i], F.lit(" "), w[i + 1], F.lit(" "), w[i + 2], F.lit("\n"), i.cast("string"))
-        )
-        return let(F.array_sort(keys), lambda k: covered(flagged(k)))
-
-    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(sort_path(words))
-
-
-def statistics(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and ratios of them for every row.
-
-    A null text has no words and all statistics zero.
+    A null text has no words and all statistics zero; a null id passes through.  Repeated rows are
+    measured each, an empty table gives no rows, columns not carried are ignored.
     """
-    t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    w = t.select("doc_id", "t", words_of(F.col("t")).alias("w"))
-    upper = F.length("t") - F.length(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    digits = F.length("t") - F.length(F.translate("t", "0123456789", ""))
+    t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"), *carry)
+    w = t.select("doc_id", "t", words_of(F.col("t")).alias("w"), *carry)
     s = w.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
-        F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         n_symbols(F.col("t")).alias("n_symbols"),
         n_dup_lines(F.col("t")).alias("n_dup_lines"),
         n_repeat_words(F.col("w")).alias("n_repeat_words"),
-        upper.cast("double").alias("upper"),
-        digits.cast("double").alias("digits"),
-        (F.length("t") - F.length(F.translate("t", ".!?", ""))).cast("double").alias("stops"),
-        (F.length("t") - F.length(F.translate("t", "!", ""))).cast("double").alias("shouts"),
+        _count(F.col("t"), "A-Z").cast("double").alias("upper"),
+        _count(F.col("t"), "0-9").cast("double").alias("digits"),
+        _count(F.col("t"), ".!?").cast("double").alias("stops"),
+        _count(F.col("t"), "!").cast("double").alias("shouts"),
         F.size(F.array_distinct("w")).cast("double").alias("distinct"),
+        *carry,
     )
     per_word = lambda c: F.col(c) / F.greatest(F.col("n_words"), F.lit(1))
     per_char = lambda c: F.col(c) / F.greatest(F.col("word_chars"), F.lit(1))
@@ -106,6 +120,7 @@ def statistics(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
         F.col("n_words").cast("double").alias("words"), per_word("word_chars").alias("mean_word"), per_word("n_symbols").alias("symbols"),
         per_word("n_dup_lines").alias("dup_lines"), per_word("n_repeat_words").alias("repeats"), per_char("upper").alias("uppers"),
         per_char("digits").alias("digit_share"), per_word("stops").alias("sentence_ends"), per_word("shouts").alias("exclaims"), per_word("distinct").alias("variety"),
+        *carry,
     )
 
 
@@ -133,54 +148,65 @@ class Rule:
         return " and ".join(f"{f} {op} {x:.4g}" for f, op, x in self.tests) + f" ({self.right} of {self.covered})"
 
 
-def _best_test(rows, bad, features):
-    """The threshold test with the most information gain for `bad` rows, and its gain."""
-    p, n = sum(bad), len(bad)
-    base_bits = math.log2(p / n)
-    best = (0.0, None)
-    for f in features:
-        order = sorted(range(n), key=lambda k: rows[k][f])
-        values = [rows[k][f] for k in order]
-        left = 0
-        for k in range(n - 1):
-            left += bad[order[k]]
-            if values[k] == values[k + 1]:
+def _best_test(x: np.ndarray, bad: np.ndarray, features):
+    """The threshold test with the most information gain for `bad` rows; None if none gains."""
+    p, n = int(bad.sum()), len(bad)
+    base_bits = np.log2(p / n)
+    best, found = 0.0, None
+    for k, f in enumerate(features):
+        order = np.argsort(x[:, k], kind="stable")
+        values, below = x[order, k], np.cumsum(bad[order])[:-1]
+        size = np.arange(1, n)
+        apart = values[1:] != values[:-1]
+        for op, hit, covered in (("<=", below, size), (">", p - below, n - size)):
+            ok = apart & (hit > 0)
+            if not ok.any():
                 continue
-            cut = (values[k] + values[k + 1]) / 2
-            for op, pp, nn in (("<=", left, k + 1), (">", p - left, n - k - 1)):
-                if pp and (gain := pp * (math.log2(pp / nn) - base_bits)) > best[0]:
-                    best = (gain, (f, op, cut))
-    return best
+            gain = np.where(ok, hit * (np.log2(np.maximum(hit, 1) / covered) - base_bits), -1.0)
+            at = int(gain.argmax())
+            if gain[at] > best:
+                best, found = float(gain[at]), (f, op, float((values[at] + values[at + 1]) / 2))
+    return found
 
 
 def learn(rows: list[dict[str, float]], bad: list[int], features=FEATURES, precision: float = 0.8, most: int = 12, least: int = 5) -> list[Rule]:
     """Ordered rules that reject, by sequential covering.  No rows of either kind: no rules."""
-    grow = [k for k in range(len(rows)) if k % 3]
-    prune = [k for k in range(len(rows)) if k % 3 == 0]
+    column = {f: k for k, f in enumerate(features)}
+    x = np.array([[r[f] for f in features] for r in rows], dtype=np.float64).reshape(len(rows), len(features))
+    y = np.array(bad, dtype=np.int64)
+    growing = np.arange(len(rows)) % 3 != 0
+    left = np.ones(len(rows), dtype=bool)
     rules: list[Rule] = []
 
-    def score(tests, of):
-        hit = [k for k in of if all(rows[k][f] <= x if op == "<=" else rows[k][f] > x for f, op, x in tests)]
-        return sum(bad[k] for k in hit), len(hit)
+    def holds(tests) -> np.ndarray:
+        out = np.ones(len(rows), dtype=bool)
+        for f, op, cut in tests:
+            out &= x[:, column[f]] <= cut if op == "<=" else x[:, column[f]] > cut
+        return out
+
+    def score(tests, of: np.ndarray) -> tuple[int, int]:
+        hit = holds(tests) & of
+        return int(y[hit].sum()), int(hit.sum())
+
+    def worth(tests) -> float:
+        p, n = score(tests, left & ~growing)
+        return (p - (n - p)) / n if n else -1.0
 
-    while len(rules) < most and sum(bad[k] for k in grow) >= least:
-        tests, inside = [], grow
-        while len(tests) < 4 and 0 < sum(bad[k] for k in inside) < len(inside):
-            _, test = _best_test([rows[k] for k in inside], [bad[k] for k in inside], features)
+    while len(rules) < most and y[left & growing].sum() >= least:
+        tests, inside = [], left & growing
+        while len(tests) < 4 and 0 < y[inside].sum() < inside.sum():
+            test = _best_test(x[inside], y[inside], features)
             if test is None:
                 break
             tests.append(test)
-            f, op, x = test
-            inside = [k for k in inside if (rows[k][f] <= x if op == "<=" else rows[k][f] > x)]
-        worth = lambda t: (lambda p, n: (p - (n - p)) / n if n else -1.0)(*score(t, prune))
+            inside = inside & holds([test])
         while len(tests) > 1 and worth(tests[:-1]) >= worth(tests):
             tests = tests[:-1]
-        right, covered = score(tests, grow + prune)
+        right, covered = score(tests, left)
         if not tests or covered < least or right < precision * covered:
             break
         rules.append(Rule(tuple(tests), right, covered))
-        grow = [k for k in grow if not rules[-1].holds(rows[k])]
-        prune = [k for k in prune if not rules[-1].holds(rows[k])]
+        left &= ~holds(tests)
     return rules
 
 
@@ -202,13 +228,17 @@ def sample_of_labels(labels: DataFrame, label: str, where: Column | None = None,
 
 
 def learn_from(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE, **kwargs) -> list[Rule]:
-    """Rules from the statistics of labelled documents: at most `most` rows of ten numbers reach the driver."""
+    """Rules from the statistics of labelled documents: at most `most` rows of ten numbers reach the driver.
+
+    Rows without an id or a label are not learned from; a document whose id is repeated counts as
+    often as it occurs.  No labels: no rules.
+    """
     sample = sample_of_labels(labels, label, most=most)
     found = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__label")
-    stats = statistics(found.withColumn("doc_id", F.col("doc_id") * 2 + F.col("__label")))
-    got = stats.select("doc_id", *FEATURES).orderBy(F.xxhash64("doc_id"), *FEATURES).limit(most).collect()
+    stats = statistics(found, carry=("__label",))
+    got = stats.select("doc_id", "__label", *FEATURES).orderBy(F.xxhash64("doc_id"), "doc_id", "__label", *FEATURES).limit(most).collect()
     rows = [r.asDict() for r in got]
-    return learn(rows, [1 - r["doc_id"] % 2 for r in rows], **kwargs)
+    return learn(rows, [1 - r["__label"] for r in rows], **kwargs)
 
 
 def apply_rules(stats: DataFrame, rules: list[Rule]) -> DataFrame:
