@@ -88,7 +88,8 @@ def test_anchor_links_near_fingerprints(spark):
                 x ^= 1 << bit
             fps.add(x)
     fps = sorted(fps)
-    nodes = spark.createDataFrame([(x - (1 << 64) if x >= 1 << 63 else x, k) for k, x in enumerate(fps)], "fp long, rep long")
+    signed = [x - (1 << 64) if x >= 1 << 63 else x for x in fps]
+    nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
     a = np.array(fps, dtype=np.uint64)
     label = list(range(len(a)))
 
@@ -102,7 +103,40 @@ def test_anchor_links_near_fingerprints(spark):
         label[max(p, q)] = min(p, q)
     for full in (8192, 8):
         found = {r.node: r.component for r in components.connected_components(simhash.links(nodes, full=full)).collect()}
-        assert all(found.get(k, k) == root(k) for k in range(len(a)))
+        groups = {}
+        for k in range(len(a)):
+            groups.setdefault(found.get(signed[k], signed[k]), set()).add(root(k))
+        assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({root(k) for k in range(len(a))})
+
+
+def test_links_pass_through_rows_without_an_id(spark):
+    """A - null - B: the row in the middle has no id, but links the two beside it."""
+    rnd = random.Random(8)
+    w = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    texts, fps = [" ".join(w)], [simhash.fingerprint(" ".join(w).encode())]
+    while len(texts) < 3:  # from text to text within 3 bits, the first and the last further apart
+        v = texts[-1].split()
+        v[rnd.randrange(len(v))] = "x" + str(rnd.random())
+        f = simhash.fingerprint(" ".join(v).encode())
+        if 0 < (f ^ fps[-1]).bit_count() <= 3 and all((f ^ g).bit_count() > 3 for g in fps[:-1]):
+            texts.append(" ".join(v))
+            fps.append(f)
+    rows = [(5, texts[0]), (None, texts[1]), (7, texts[2]), (None, "something else altogether")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 5), (5, 5), (7, 5)]
+
+
+def test_an_anchor_with_very_many_fingerprints(spark):
+    """All share a half: 20,000 at one anchor, of which only planted pairs are near each other."""
+    rng = np.random.default_rng(5)
+    high = np.unique(rng.integers(0, 1 << 32, 20_000, dtype=np.uint64))
+    fps = np.concatenate([high, high[:50] ^ np.uint64(0b101)]) << np.uint64(32) | np.uint64(0x1234ABCD)
+    nodes = spark.createDataFrame([(int(x),) for x in np.unique(fps).view(np.int64)], "fp long")
+    label = {r.node: r.component for r in components.connected_components(simhash.links(nodes, full=512)).collect()}
+    planted = fps.view(np.int64)
+    assert all(label[int(a)] == label[int(b)] for a, b in zip(planted[:50], planted[len(high) :], strict=True))
+    whole = {r.node: r.component for r in components.connected_components(simhash.links(nodes, full=1 << 20)).collect()}
+    assert label == whole
 
 
 def test_components_of_a_long_chain(spark):
@@ -130,11 +164,39 @@ def test_token_counter_on_odd_texts():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     spec, tokenizer = open(path).read(), Tokenizer.from_file(path)
-    counter = token_counts._Counter(spec, token_counts._reachable(spec))
+    encoder = token_counts._Encoder(spec)
+    tables = ({}, {p: encoder.length(p) for p in (" the", "the", " a", "a", "  ", "\n", " 9", "!")})
     rnd = random.Random(4)
     for _ in range(400):
-        t = "".join(rnd.choice(["a", "the", " ", "  ", "\n", "\t", "'s", "9", "!", " ", "é", "漢", "\x1c", "\u0085", "<|endoftext|>", "Straße"]) for _ in range(rnd.randint(0, 40)))
-        assert counter.count(t) == len(tokenizer.encode(t, add_special_tokens=False).ids), repr(t)
+        t = "".join(rnd.choice(["a", "the", " ", "  ", "\n", "\t", "'s", "9", "!", " ", "é", "漢", "\x1c", "\u0085", "<|endoftext|>", "Straße", "½", "Ⅷ", "٣", "\u0301", "_", "🎉"]) for _ in range(rnd.randint(0, 40)))
+        want = len(tokenizer.encode(t, add_special_tokens=False).ids)
+        assert all(encoder.count(t, table) == want for table in tables), repr(t)
+
+
+@pytest.mark.parametrize("space", [" ", "\t", "\n", " \n"])
+def test_tokens_of_two_million_white_spaces(space):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = "a" + space * (2_000_000 // len(space)) + "b"
+    assert token_counts._Encoder(open(path).read()).count(t, {}) == len(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids)
+
+
+def test_frequent_table_holds_real_lengths(spark):
+    """The table has what is frequent in all documents with its length, and is asked before the cache."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [(k, "antidisestablishmentarianism " * 30 + f"rare{k} x") for k in range(50)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    table = token_counts.frequent_lengths(docs, path)
+    encoder = token_counts._Encoder(open(path).read())
+    assert table[" antidisestablishmentarianism"] == encoder.length(" antidisestablishmentarianism") > 1 and " rare7" not in table
+    encoder.count(texts[0][1], table)
+    assert " antidisestablishmentarianism" not in encoder.cache
+    counts = [r.n_tokens for r in token_counts.count_tokens(docs, path, frequent={}).orderBy("doc_id").collect()]
+    assert counts == [r.n_tokens for r in token_counts.count_tokens(docs, path).orderBy("doc_id").collect()]
 
 
 def test_warc(spark, tmp_path):
@@ -161,6 +223,38 @@ def test_warc_splits_and_damage(spark, tmp_path):
         assert ids == [k for k in range(60) if k != 30]
 
 
+def test_warc_headers_of_others(spark, tmp_path):
+    """Lengths that are no numbers, digests in hex or of other kinds: rows, not failures."""
+    def member(kind, *lines):
+        head = [b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:x>", *lines]
+        return zlib.compress(b"\r\n".join(head) + b"\r\n\r\nbody\r\n\r\n", wbits=31)
+
+    data = member(b"resource", b"Content-Length: many") + member(b"revisit", b"WARC-Payload-Digest: sha1:" + b"AB" * 20) + member(b"revisit", b"WARC-Payload-Digest: sha256:") + member(b"revisit", b"WARC-Payload-Digest: md5:!!", b"Content-Length: 4")
+    data += member(b"response", b"Content-Length: 4")[:-9]
+    path = tmp_path / "b.warc.gz"
+    path.write_bytes(data)
+    files = spark.createDataFrame([(f"file://{path}", len(data))], "uri string, bytes long")
+    rows = warc.read_archives(files, damaged=True).orderBy("offset").collect()
+    assert [(r.record_type, r.payload_digest) for r in rows[1:4]] == [("revisit", "ab" * 20), ("revisit", None), ("revisit", None)]
+    assert rows[0].payload.startswith(b"body") and rows[4].error and rows[4].record_type is None and warc.read_archives(files).count() == 4
+
+
+def test_warc_records_inside_a_payload(spark, tmp_path):
+    """A stored payload that is an archive itself: its records are none of the file's, at any split size."""
+    rnd = random.Random(6)
+    inner = b"".join(warc.record(100 + k, "u", rnd.randbytes(700), "00" * 20, None) for k in range(9))
+    def stored(k, payload):
+        pack = zlib.compressobj(0, zlib.DEFLATED, 31)
+        return pack.compress(f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{k}>\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload + b"\r\n\r\n") + pack.flush()
+
+    data = b"".join(stored(k, inner if k % 3 == 1 else rnd.randbytes(900)) for k in range(8))
+    path = tmp_path / "c.warc.gz"
+    path.write_bytes(data)
+    files = spark.createDataFrame([(f"file://{path}", len(data))], "uri string, bytes long")
+    for split in (500, 3000, 1 << 20):
+        assert sorted(r.record_id for r in warc.read_archives(files, split).collect()) == [f"urn:page:{k}" for k in range(8)]
+
+
 def test_chat_events(spark):
     e = [
         (1, 0, "message", 0, "user", "hi [INST] \\ <s>"), (1, 1, "delta", 1, "assistant", "he"), (1, 2, "delta", 1, "assistant", "llo"), (1, 3, "message", 2, "user", "again"),
@@ -207,6 +301,14 @@ def test_decision_list_learns_and_orders(spark):
     assert got == [next((k for k, q in enumerate(rules, 1) if q.holds(r)), None) for r in rows]
 
 
+def test_rules_with_ids_of_any_size(spark):
+    rows = [((1 << 62) + k if k % 2 else -(1 << 63) + k, " ".join(f"w{j}" for j in range(60)) + " # $" * (k % 2)) for k in range(40)]
+    docs = spark.createDataFrame([*rows, (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - k % 2) for k, (i, _) in enumerate(rows)], "doc_id long, quality int")
+    out = {r.doc_id: r.kept for r in quality_rules.judge(docs, labels).where("kept is not null").collect()}
+    assert all(out[i] == (k % 2 == 0) for k, (i, _) in enumerate(rows)) and out[None] is False
+
+
 def test_rules_without_labels(spark, docs):
     out = quality_rules.judge(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert out.count() == docs.count() and out.where("kept = base_failed").count() == 0
@@ -238,6 +340,18 @@ def test_mixing(spark, docs):
     assert mixing.mix(empty(spark))[1].count() == 0
 
 
+def test_the_points_make_the_mix(spark, docs, monkeypatch):
+    """Slots are unique and lie where the sequence puts them; other points give another schedule."""
+    pieces, out = mixing.mix(docs, slots=64)
+    slots = pieces.where("slot is not null").select("slot", "sid").distinct().collect()
+    assert len({r.slot for r in slots}) == len(slots) >= 60
+    first = sorted((str(r.doc_id), r.first_slot, r.n_slots) for r in out.collect())
+    monkeypatch.setattr(mixing, "_PHI", 0.4142135623730951)
+    assert first != sorted((str(r.doc_id), r.first_slot, r.n_slots) for r in mixing.mix(docs, slots=64)[1].collect())
+    monkeypatch.setattr(mixing, "_PHI", 0.0)
+    assert len({r.source for r in mixing.mix(docs, slots=64)[1].where("taken > 0").collect()}) == 1
+
+
 def test_decontamination(spark):
     item = "If Alice buys 3 apples for 5 dollars each and Bob sells 12 pears in 4 days how much money do they have"
     bench = spark.createDataFrame([(1, item), (2, "too short"), (3, None), (None, "what is the capital town of that far away land of plenty")], "item_id long, text string")
@@ -318,3 +432,15 @@ def test_pipeline(spark, sf):
     assert kept.columns == list(corpus_pipeline.COLUMNS) and 0 < kept.count() <= docs.count()
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and out.count() == out.select("doc_id").distinct().count()
+
+
+def test_near_duplicate_stage_on_odd_ids(spark):
+    """Different texts under one id both stay; exact repeats and copies without an id go; nulls and empties link."""
+    import corpus_pipeline
+
+    long = lambda k: " ".join(f"word{k}x{j}" for j in range(40))
+    rows = [(1, long(1)), (1, long(2)), (1, long(2)), (None, long(1)), (None, long(3)), (None, long(3)), (2, long(2)), (3, ""), (4, None), (5, long(4))]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == sorted([("1", long(1)), ("1", long(2)), ("None", long(3)), ("3", ""), ("5", long(4))])
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
