@@ -26,8 +26,8 @@ _SCALARS = {
         "s", "coalesce(t, '')", f"case when length(s) = 0 then 0L when length(s) > {SAMPLED_FROM} then {_SAMPLED} * {_STEP} else {_estimate('s')} end"
     ),
     "human_size(n BIGINT) RETURNS STRING": (
-        "case when n < 1024 then concat(n, 'B') when n < 1048576 then concat(format_string('%.1f', n / 1024D), 'KB')"
-        " when n < 1073741824 then concat(format_string('%.1f', n / 1048576D), 'MB') else concat(format_string('%.2f', n / 1073741824D), 'GB') end"
+        "case when n < 1024 then concat(n, 'B') when n < 1048576 then concat(format_string('%.1f', bround(n / 1024D, 1)), 'KB')"
+        " when n < 1073741824 then concat(format_string('%.1f', bround(n / 1048576D, 1)), 'MB') else concat(format_string('%.2f', bround(n / 1073741824D, 2)), 'GB') end"
     ),
     "count_words(t STRING) RETURNS BIGINT": r"cast(regexp_count(coalesce(t, ''), r'(?U)[^\s\x1C-\x1F]+') as bigint)",
 }

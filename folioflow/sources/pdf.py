@@ -13,6 +13,8 @@ _REF = re.compile(rb"(\d+)\s+(\d+)\s+R\b")
 _TOKEN = re.compile(
     rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\))*\)|<[0-9A-Fa-f\s]*>|/[^\s/\[\]()<>{}%]*|[-+]?\d*\.?\d+|\[|\]|[A-Za-z'\"*]+", re.S
 )
+#: Fixed value: the body of a page whose content has a filter that isn't read.
+UNSUPPORTED = "[page uses an unsupported stream filter]"
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
@@ -25,6 +27,8 @@ class Pdf:
         if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", tail) or re.search(rb"/Filter\s*/Standard\b", data):
             raise ReadError("the document is encrypted", 4)
         self.objects: dict[int, bytes] = {}
+        self.unsupported: set[int] = set()  # streams with a filter that isn't read
+        self.cut = False  # more pages than the cap
         for m in _OBJECT.finditer(data):
             end = data.find(b"endobj", m.end())
             self.objects[int(m[1])] = data[m.end() : end if end >= 0 else len(data)]
@@ -45,9 +49,11 @@ class Pdf:
         for f in re.findall(rb"/(\w+)", filters[1]) if filters else []:
             if f in (b"FlateDecode", b"Fl"):
                 try:
-                    body = zlib.decompressobj().decompress(body, self.conf.pdf_stream_bytes)
+                    body = zlib.decompressobj().decompress(body, self.conf.pdf_stream_bytes + 1)
                 except zlib.error:
                     return b""
+                if len(body) > self.conf.pdf_stream_bytes:
+                    raise self.error("a stream inflates beyond the cap", 4)
             elif f in (b"ASCIIHexDecode", b"AHx"):
                 digits = re.sub(rb"[^0-9A-Fa-f]", b"", body.partition(b">")[0])
                 body = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
@@ -57,9 +63,21 @@ class Pdf:
                 except ValueError:
                     return b""
             else:
+                self.unsupported.add(n)
                 return b""
         return body
 
+    def array(self, head: bytes, name: bytes) -> list[int]:
+        """Objects that an entry refers to: one, an array in place, or an array that is an object of its own."""
+        m = re.search(rb"/" + name + rb"\s*(?:\[(.*?)\]|(\d+)\s+\d+\s+R\b)", head, re.S)
+        if not m:
+            return []
+        if m[1] is None and (other := re.match(rb"\s*\[(.*?)\]", self.objects.get(int(m[2]), b""), re.S)):
+            m = other
+        elif m[1] is None:
+            return [int(m[2])]
+        return [int(r[1]) for r in _REF.finditer(m[1])]
+
     def pages(self) -> list[int]:
         """Object numbers in the order of the page tree; without a tree, every page object."""
         root = next((n for n in self.objects if re.search(rb"/Type\s*/Catalog\b", self.head(n))), None)
@@ -67,13 +85,14 @@ class Pdf:
         seen: set[int] = set()
 
         def walk(n: int, depth: int = 0) -> None:
+            self.cut |= n not in seen and depth <= 64 and len(out) >= self.conf.pdf_pages
             if n in seen or depth > 64 or len(out) >= self.conf.pdf_pages:
                 return
             seen.add(n)
             head = self.head(n)
-            if kids := re.search(rb"/Kids\s*\[(.*?)\]", head, re.S):
-                for r in _REF.finditer(kids[1]):
-                    walk(int(r[1]), depth + 1)
+            if kids := self.array(head, b"Kids"):
+                for kid in kids:
+                    walk(kid, depth + 1)
             elif re.search(rb"/Type\s*/Page\b", head):
                 out.append(n)
 
@@ -93,7 +112,7 @@ class Pdf:
         out = {}
         for m in re.finditer(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", inner):
             font = self.head(int(m[2]))
-            unicode = re.search(rb"/ToUnicode\s+(\d+)\s+\d+\s+R", font)
+            unicode = next((u for f in (font, *map(self.head, self.array(font, b"DescendantFonts"))) if (u := re.search(rb"/ToUnicode\s+(\d+)\s+\d+\s+R", f))), None)
             out[m[1]] = {"wide": b"Identity-H" in font, "map": _cmap(self.stream(int(unicode[1]))) if unicode else {}}
         return out
 
@@ -183,9 +202,8 @@ def pdf(data: bytes, name: str, conf: EngineConf, wanted=lambda n: True):
         if not wanted(k):
             continue
         head = doc.head(n)
-        m = re.search(rb"/Contents\s*(?:\[(.*?)\]|(\d+\s+\d+\s+R))", head, re.S)
-        refs = [int(r[1]) for r in _REF.finditer(m[1] or m[2])] if m else []
+        refs = doc.array(head, b"Contents")
         body = page_text(b"\n".join(doc.stream(r) for r in refs), doc.fonts(n))
         empty += not body
-        out.append((f"=== [page {k}/{len(pages)}] ===", body or "[no extractable text on this page]", f"--pages {k}"))
-    return out, {"pages": len(pages), "engine_note": "builtin", **({"pages_without_text": empty} if empty else {})}
+        out.append((f"=== [page {k}/{len(pages)}] ===", body or (UNSUPPORTED if doc.unsupported & set(refs) else "[no extractable text on this page]"), f"--pages {k}"))
+    return out, {"pages": len(pages), "engine_note": "builtin", **({"pages_without_text": empty} if empty else {}), **({"pages_truncated_to_cap": True} if doc.cut else {})}

@@ -9,6 +9,7 @@ import zipfile
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioflow.conf import EngineConf
 from folioflow.sources import readers as R
@@ -226,3 +227,48 @@ def test_sanitize(spark):
     out = {r.id: r.t for r in sanitize(df, "id", "t").collect()}
     assert out[1].count("same") == 60 and "identical line repeated more than 60 times" in out[1] and out[1].startswith("a\nb\n") and "\n\n\n\n" not in out[1]
     assert out[2] == "" and out[3] == ""
+
+
+def test_detection_survives_any_bytes(spark):
+    from folioflow.sources import sniff
+
+    cases = [
+        (b'{"a": "caf\xe9"}', "", "json"), (b'{"a": 1}\n{"a": 2}\n', "", "json"), (b'[1, 2] and more', "", "json"), (b"{broken \xff", "", "text"), (b"\xff\xfe\x00", "", "text"), (b'  {"k": "v"} tail text', "", "json"),
+        (b"SQLite format 3\x00rest", "", "sqlite"), (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", ".doc", "ole-legacy"), (b"BM" + bytes(40), "", "image-bmp"), (b"II*\x00", "", "image-tiff"), (b"RIFF0000WEBP", "", "image-webp"),
+        (b" <?xml version='1.0'?><a/>", "", "xml"), (b"<svg></svg>", "", "xml"), (b"<!DOCTYPE html><html>", "", "html"), (b"plain", ".ipynb", "ipynb"), (b"plain", ".ndjson", "jsonl"), (b"plain", ".toml", "toml"), (b"plain", ".msg", "ole-legacy"), (None, "", "text"),
+    ]
+    df = spark.createDataFrame([(k, c, e) for k, (c, e, _) in enumerate(cases)], "k int, content binary, ext string")
+    got = {r.k: r.fmt for r in df.select("k", sniff.sniff(F.col("content"), F.col("ext")).alias("fmt")).collect()}
+    assert got == {k: fmt for k, (_, _, fmt) in enumerate(cases)}
+
+
+def test_tables_with_large_cells_and_errors():
+    import csv
+
+    rows = "".join(f"{k},{'x' * 200_000 if k == 2 else k}\n" for k in range(53))
+    (_, body, _), = R.delimited(rows.encode(), "a.csv", EngineConf())[0]
+    assert len(body.split("\n")) == 53
+    small = EngineConf(input_bytes=150_000)
+    (_, body, _), = R.delimited(rows.encode(), "a.csv", small)[0]
+    assert "can't be read beyond row 2" in body
+    csv.field_size_limit(131_072)
+
+
+def test_pdf_references_caps_and_filters():
+    import zlib
+
+    from folioflow.sources.pdf import UNSUPPORTED, pdf
+
+    def build(*objects):
+        return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, o) for k, o in enumerate(objects, 1)) + b"trailer << /Root 1 0 R >>"
+
+    text = b"BT (Hello) Tj ET"
+    doc = build(b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids 3 0 R >>", b"[4 0 R 5 0 R]", b"<< /Type /Page /Contents 6 0 R >>", b"<< /Type /Page /Contents 8 0 R >>", b"[7 0 R]", b"<< /Length 16 >>\nstream\n" + text + b"\nendstream", b"<< /Filter /LZWDecode >>\nstream\nxx\nendstream")
+    sections, meta = pdf(doc, "a.pdf", EngineConf())
+    assert [b for _, b, _ in sections] == ["Hello", UNSUPPORTED] and meta["pages"] == 2
+    sections, meta = pdf(doc, "a.pdf", EngineConf(pdf_pages=1))
+    assert len(sections) == 1 and meta["pages_truncated_to_cap"]
+    bomb = build(b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] >>", b"<< /Type /Page /Contents 4 0 R >>", b"<< /Filter /FlateDecode >>\nstream\n" + zlib.compress(b" " * 100_000) + b"\nendstream")
+    with pytest.raises(R.ReadError) as e:
+        pdf(bomb, "a.pdf", EngineConf(pdf_stream_bytes=1000))
+    assert e.value.code == 4
