@@ -10,8 +10,9 @@ windows of one alignment of an item are then checked for consistent slots: withi
 item values stand for equal document values and different ones for different ones.  What remains is
 a literal or re-parameterised copy of at least one window.
 
-The benchmark's windows are the small side.  They are broadcast in chunks of at most CHUNK windows,
-one pass over the documents per chunk, so a benchmark of any size fits.
+The benchmark's windows are the small side.  They are broadcast in chunks of at most CHUNK windows (or
+one item), one pass over the documents per chunk; a pass is written before the next begins, so one
+chunk at a time is held.
 """
 
 from __future__ import annotations
@@ -201,7 +202,9 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_tex
     names, plain = base.other_columns(docs, into)
     out = plain.withColumn("hits", F.array().cast(_HITS))
     k = names.index(text)
-    for items in _chunks(benchmark, item_text, item_id):
+    for number, items in enumerate(_chunks(benchmark, item_text, item_id)):
+        if number:
+            out = base.materialize(out, "searched")
         shared = spark.sparkContext.broadcast(Index(items, window, literal))
 
         def run(batches, shared=shared, columns=out.columns):
