@@ -58,44 +58,41 @@ def _second(words: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return (window_hashes(words, at, window, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-_ASK = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("did", pa.int64()), ("more", pa.bool_()), ("told", pa.list_(pa.int64()))])
-_ASK_DDL = "h1 long, h2 int, did long, more boolean, told array<long>"
+_ASK = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("did", pa.int64()), ("tid", pa.int64()), ("more", pa.bool_()), ("told", pa.list_(pa.int64()))])
+_ASK_DDL = "h1 long, h2 int, did long, tid long, more boolean, told array<long>"
 
 
-def _combine(h1: np.ndarray, h2: np.ndarray | None, did: np.ndarray, smallest_only: bool):
+def _combine(h1: np.ndarray, h2: np.ndarray | None, did: np.ndarray, tid: np.ndarray, smallest_only: bool):
     """Rows for the reducer from (hash, document) pairs of one task.
 
-    Asking rows: one per hash with the smallest document; `more` says that others here have it.
-    Telling rows: per document the hashes that are settled here - with smallest_only those that a
-    smaller document has, else all that two or more documents have (the smallest one's too).
+    Asking rows: one per hash with the smallest document (of rows without an id one per text); `more`
+    says that others here have it.  Telling rows: per document the hashes that are settled here - with
+    smallest_only those that a smaller document has, else all that two or more documents have (the
+    smallest one's too).
     """
-    keys = (did, h1) if h2 is None else (did, h2, h1)
+    keys = (tid, did, h1) if h2 is None else (tid, did, h2, h1)
     order = np.lexsort(keys)
-    h1, did = h1[order], did[order]
-    h2 = None if h2 is None else h2[order]
-    new = np.ones(len(h1), dtype=bool)
-    new[1:] = h1[1:] != h1[:-1]
-    if h2 is not None:
-        new[1:] |= h2[1:] != h2[:-1]
+    h1, did, tid = h1[order], did[order], tid[order]
+    h2 = np.zeros(len(h1), np.int32) if h2 is None else h2[order]
+    differs = lambda *arrays: np.append(True, np.any([x[1:] != x[:-1] for x in arrays], axis=0))
+    new = differs(h1, h2)
+    fresh = new | differs(did, tid)
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(h1)))
     group = np.repeat(np.arange(len(first)), size)
-    last = did[first + size - 1]
-    shared = last != did[first]
-    ask = pa.RecordBatch.from_arrays(
-        [pa.array(h1[first]), pa.array(np.zeros(len(first), np.int32) if h2 is None else h2[first]), pa.array(did[first]), pa.array(shared), pa.nulls(len(first), pa.list_(pa.int64()))],
-        schema=_ASK,
-    )
-    yield ask
-    tell = shared[group] if not smallest_only else did != did[first][group]
+    shared = did[first + size - 1] != did[first]
+    least = did == did[first][group]
+    ask = fresh & least
+    yield pa.RecordBatch.from_arrays([pa.array(h1[ask]), pa.array(h2[ask]), pa.array(did[ask]), pa.array(tid[ask]), pa.array(shared[group][ask]), pa.nulls(int(ask.sum()), pa.list_(pa.int64()))], schema=_ASK)
+    tell = fresh & (~least if smallest_only else shared[group])
     if tell.any():
-        d, h = did[tell], h1[tell]
-        order = np.argsort(d, kind="stable")
-        d, h = d[order], h[order]
-        at = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+        d, t, h = did[tell], tid[tell], h1[tell]
+        order = np.lexsort((t, d))
+        d, t, h = d[order], t[order], h[order]
+        at = np.flatnonzero(differs(d, t))
         lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(d)).astype(np.int32)), pa.array(h))
-        own = d[at]
-        yield pa.RecordBatch.from_arrays([pa.array(mix(own.view(np.uint64)).view(np.int64)), pa.array(np.zeros(len(at), np.int32)), pa.array(own), pa.array(np.ones(len(at), bool)), lists], schema=_ASK)
+        spread = mix((d[at] ^ t[at]).view(np.uint64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.zeros(len(at), np.int32)), pa.array(d[at]), pa.array(t[at]), pa.array(np.ones(len(at), bool)), lists], schema=_ASK)
 
 
 class _Buffer:
@@ -104,15 +101,15 @@ class _Buffer:
     def __init__(self, smallest_only: bool):
         self.parts, self.size, self.smallest_only = [], 0, smallest_only
 
-    def add(self, h1, h2, did):
-        self.parts.append((h1, h2, did))
+    def add(self, h1, h2, did, tid):
+        self.parts.append((h1, h2, did, tid))
         self.size += len(h1)
 
     def flush(self):
         if self.size:
-            h1, h2, did = zip(*self.parts, strict=True)
+            h1, h2, did, tid = zip(*self.parts, strict=True)
             self.parts, self.size = [], 0
-            yield from _combine(np.concatenate(h1).view(np.int64), None if h2[0] is None else np.concatenate(h2), np.concatenate(did), self.smallest_only)
+            yield from _combine(np.concatenate(h1).view(np.int64), None if h2[0] is None else np.concatenate(h2), np.concatenate(did), np.concatenate(tid), self.smallest_only)
 
     def full(self):
         if self.size >= BUFFER:
@@ -120,7 +117,7 @@ class _Buffer:
 
 
 def _settle(rows: DataFrame, smallest_only: bool) -> DataFrame:
-    """did, hashes: per document what other tasks know about its hashes, with what its own task told."""
+    """did, tid, hashes: per document what other tasks know about its hashes, with what its own task told."""
     same = Window.partitionBy("h1", "h2", F.col("told").isNotNull())
     least, most = F.min("did").over(same), F.max("did").over(same)
     asked = F.col("told").isNull()
@@ -131,7 +128,7 @@ def _settle(rows: DataFrame, smallest_only: bool) -> DataFrame:
     # The smallest of several documents in one task was told already; alone it has to ask.
     flagged = rows.withColumn("found", found)
     kept = flagged.where(F.col("told").isNotNull() | F.col("found"))
-    return kept.groupBy("did").agg(F.flatten(F.collect_list(F.coalesce("told", F.array("h1")))).alias("hashes"))
+    return kept.groupBy("did", "tid").agg(F.flatten(F.collect_list(F.coalesce("told", F.array("h1")))).alias("hashes"))
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -153,25 +150,26 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
         np.seterr(over="ignore")
         buffer = _Buffer(False)
         for batch in base.columns_of(batches):
-            texts, ids = base.as_bytes(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
+            texts, (ids, tids) = base.as_bytes(batch.column(1)), (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
             for i, j in blocks(texts):
                 words = Words(texts[i:j])
                 at, h = _anchors(words, window)
-                buffer.add(h, None, ids[i:j][words.owner()[at]])
+                whose = words.owner()[at]
+                buffer.add(h, None, ids[i:j][whose], tids[i:j][whose])
                 yield from buffer.full()
         yield from buffer.flush()
 
-    return docs.select("did", "t").mapInArrow(run, _ASK_DDL)
+    return docs.select("did", "t", "tid").mapInArrow(run, _ASK_DDL)
 
 
 def _window_rows(candidates: DataFrame, window: int) -> DataFrame:
-    """candidates: did, z, hashes (shared anchors)."""
+    """candidates: did, tid, z, hashes (shared anchors)."""
 
     def run(batches):
         np.seterr(over="ignore")
         buffer = _Buffer(True)
         for batch in base.columns_of(batches):
-            texts, ids = [zlib.decompress(z) for z in batch.column(1).to_pylist()], batch.column(0).to_numpy(zero_copy_only=False)
+            texts, (ids, tids) = [zlib.decompress(z) for z in batch.column(1).to_pylist()], (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 3))
             lists = batch.column(2)
             for i, j in blocks(texts):
                 words = Words(texts[i:j])
@@ -184,12 +182,11 @@ def _window_rows(candidates: DataFrame, window: int) -> DataFrame:
                 np.add.at(around, at + 1, -1)
                 place, n = words.place(), words.count[owner]
                 start = np.flatnonzero((np.cumsum(around[:-1]) > 0) & (place + window <= n))
-                h1, h2, did = window_hashes(words.hash, start, window), _second(words.hash, start, window), ids[i:j][owner[start]]
-                buffer.add(h1, h2, did)
+                buffer.add(window_hashes(words.hash, start, window), _second(words.hash, start, window), ids[i:j][owner[start]], tids[i:j][owner[start]])
                 yield from buffer.full()
         yield from buffer.flush()
 
-    return candidates.select("did", "z", "hashes").mapInArrow(run, _ASK_DDL)
+    return candidates.select("did", "z", "hashes", "tid").mapInArrow(run, _ASK_DDL)
 
 
 def _covered(words: Words, removed: pa.ListArray, window: int) -> np.ndarray:
@@ -212,11 +209,11 @@ def _covered(words: Words, removed: pa.ListArray, window: int) -> np.ndarray:
 
 
 def removed_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """did, hashes: per document the windows to remove.  docs: did, t."""
+    """did, tid, hashes: per document the windows to remove.  docs: did, tid, t."""
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
     shared = _settle(_anchor_rows(docs, window), False)
-    candidates = _packed(docs).join(shared, "did")
+    candidates = _packed(docs).join(shared, ["did", "tid"])
     return _settle(_window_rows(candidates, window), True)
 
 
@@ -226,13 +223,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", id_col: str
     kept_text is the text itself where nothing was removed, else the kept words joined by a space.
     Nulls: a null text has no words (kept_sha256 is that of the empty text, kept_text null); a null id
     counts as the largest, so such rows lose what any other document has and never what they share
-    among themselves.  Rows that repeat a doc_id are one document as to "smaller" and are judged each
+    among themselves; they are told apart by a hash of their text (tid), so no key gathers them all.  Rows that repeat a doc_id are one document as to "smaller" and are judged each
     on its own text.  An empty table gives no rows; columns not carried are ignored, whatever their names.
     """
     did = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("did")
-    removed = removed_windows(docs.select(did, F.col(text).alias("t")), window)
+    tid = F.when(F.col(id_col).isNull(), F.xxhash64(text)).otherwise(F.lit(0)).cast("long").alias("tid")
+    removed = removed_windows(docs.select(did, F.col(text).alias("t"), tid), window)
     rest = F.struct(F.col(id_col).cast("long").alias("id"), F.col(text).isNull().alias("no_text"), F.struct(F.lit(0).alias("__"), *[F.col(c) for c in carry]).alias("carry"))
-    full = _packed(docs.select(did, F.col(text).alias("t"), rest.alias("rest"))).join(removed, "did", "left")
+    full = _packed(docs.select(did, F.col(text).alias("t"), tid, rest.alias("rest"))).join(removed, ["did", "tid"], "left")
     schema = T.StructType([full.schema["rest"], *[T.StructField(c, k) for c, k in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.StringType()))]])
 
     def run(batches):
