@@ -3,11 +3,12 @@
 A text is read as overlapping windows of words; a run of over 64 bytes is several.  Each word enters as the sum of two projections: its
 own embedding (if it is in the learned vocabulary) and the mean embedding of its character trigrams.
 A GRU runs over the window in either direction, attention pools its states, and a logistic unit
-scores the window.  A text's score is its highest window's over the whole text, calibrated on
-training texts that are cut as for training: to MOST_WORDS words from all over the text.
+scores the window.  A text's score is its highest window's over the whole text, calibrated on whole
+texts.
 
 Training picks, in each toxic text of a bounded sample, the windows that hold its most telling words
-(by smoothed log odds), and in clean texts the same and random ones.
+(by smoothed log odds), and in clean texts the same and random ones.  Texts are read whole, in the
+executors; the driver gets counts of at most TELLING words, the picked windows and a score per text.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from .wordhash import _LOWER, blocks, mix, spans, word_hashes
 
 #: Words of a window, and from one window to the next.
 LENGTH, STRIDE = 24, 12
-#: Bound of the labelled sample: texts of either class, and words kept of each for training.
-POSITIVE, NEGATIVE, MOST_WORDS = 1500, 2500, 1024
+#: Bound of the labelled sample: texts of either class.
+POSITIVE, NEGATIVE = 1500, 2500
+#: Words whose counts by class reach the driver: the most telling ones.
+TELLING = 50_000
 #: Random windows of clean texts in training, about.
 CLEAN_WINDOWS = 6000
 THRESHOLD = 0.3
@@ -57,6 +60,7 @@ class Tokens:
         np.cumsum([len(t) + 1 for t in texts], out=offsets[1:])
         self.first = np.searchsorted(first, offsets)
         self.count = np.diff(self.first)
+        self.data, self.span = data, (first, last)
         self.hash, where, self.type = np.unique(word_hashes(data, first, last), return_index=True, return_inverse=True)
         first, last = first[where], last[where]
         # Trigrams of "^word$": one per byte of the word, the bytes beyond its ends being marks.
@@ -77,6 +81,11 @@ class Tokens:
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return text, self.first[:-1][text] + np.minimum(k * STRIDE, extra[text])
 
+    def words(self, text: int, start: int) -> bytes:
+        """The words of a window, joined by spaces."""
+        at = range(start, min(start + LENGTH, int(self.first[text + 1])))
+        return b" ".join(self.data[self.span[0][k] : self.span[1][k]].tobytes() for k in at)
+
     def matrix(self, text: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Distinct-word numbers of windows, (LENGTH, windows); -1 beyond the text's end."""
         at = start[None, :] + np.arange(LENGTH)[:, None]
@@ -203,15 +212,21 @@ def _add(index: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
     return np.stack([np.bincount(index, values[:, k], rows) for k in range(values.shape[1])], axis=1)
 
 
-def _pick(tokens: Tokens, y: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, label) of training windows."""
-    text, start = tokens.windows()
+def _counts(tokens: Tokens, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Toxic and clean texts that hold each distinct word."""
     owner = np.repeat(np.arange(len(y)), tokens.count)
     seen = np.unique(owner * (len(tokens.hash) + 1) + tokens.type)
     who, which = seen // (len(tokens.hash) + 1), seen % (len(tokens.hash) + 1)
-    pos = np.bincount(which[y[who] == 1], minlength=len(tokens.hash)) + 0.5
-    neg = np.bincount(which[y[who] == 0], minlength=len(tokens.hash)) + 0.5
-    odds = np.log(pos / (y.sum() + 1)) - np.log(neg / (len(y) - y.sum() + 1))
+    return tuple(np.bincount(which[y[who] == k], minlength=len(tokens.hash)) for k in (1, 0))
+
+
+def _odds(pos: np.ndarray, neg: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    return np.log((pos + 0.5) / (toxic + 1)) - np.log((neg + 0.5) / (clean + 1))
+
+
+def _pick(tokens: Tokens, y: np.ndarray, odds: np.ndarray, clean_windows: int, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, label) of training windows; odds per distinct word, clean_windows in all texts."""
+    text, start = tokens.windows()
     ids = tokens.matrix(text, start)
     best = np.where(ids >= 0, np.append(odds, 0)[ids], -99).max(axis=0) + 1e-6 * rng.random(len(text))
     order = np.lexsort((-best, text))
@@ -219,7 +234,7 @@ def _pick(tokens: Tokens, y: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray, n
     rank[order] = np.arange(len(text)) - np.repeat(np.flatnonzero(np.append(True, text[order][1:] != text[order][:-1])), np.bincount(text, minlength=len(y)))
     toxic = (y[text] == 1) & ((rank == 0) | (rank < 3) & (best > np.log(8)))
     clean = y[text] == 0
-    clean &= (rank == 0) | (rng.random(len(text)) < CLEAN_WINDOWS / max(int(clean.sum()), 1))
+    clean &= (rank == 0) | (rng.random(len(text)) < CLEAN_WINDOWS / max(clean_windows, 1))
     use = np.flatnonzero(toxic | clean)
     return text[use], start[use], y[text[use]].astype(np.float32)
 
@@ -236,10 +251,19 @@ def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = 6,
         held[:] = False
     train_y = y[~held]
     tokens = Tokens([t for t, h in zip(texts, held, strict=True) if not h])
-    text, start, label = _pick(tokens, train_y, rng)
+    odds = _odds(*_counts(tokens, train_y), int(train_y.sum()), int(len(train_y) - train_y.sum()))
+    clean = train_y[tokens.windows()[0]] == 0
+    model = _learn(tokens, *_pick(tokens, train_y, odds, int(clean.sum()), rng), len(y), rng, epochs, least, batch, rate)
+    use = np.flatnonzero(held) if held.any() else np.arange(len(y))
+    _calibrate(model, model.raw([texts[k] for k in use]), y[use], weight[use])
+    return model
+
+
+def _learn(tokens: Tokens, text: np.ndarray, start: np.ndarray, label: np.ndarray, n_texts: int, rng, epochs: int = 6, least: int = 240, batch: int = 256, rate: float = 0.01) -> Model:
+    """Train on windows of a block, n_texts being the texts they were picked from."""
     ids = tokens.matrix(text, start)
     often = np.bincount(np.append(ids[ids >= 0], 0), minlength=len(tokens.hash))
-    vocabulary = tokens.hash[often >= max(5, len(y) // 600)]
+    vocabulary = tokens.hash[often >= max(5, n_texts // 600)]
     model = Model(np.sort(vocabulary), _start(len(vocabulary), rng))
     p, rows_of = model.p, model.word_rows(tokens.hash)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
@@ -282,8 +306,6 @@ def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = 6,
                 m1 += 0.1 * (grad - m1)
                 m2 += 0.01 * (grad * grad - m2)
                 v -= (lr * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    use = np.flatnonzero(held) if held.any() else np.arange(len(y))
-    _calibrate(model, model.raw([texts[k] for k in use]), y[use], weight[use])
     return model
 
 
@@ -309,33 +331,85 @@ def _calibrate(model: Model, raw: np.ndarray, y: np.ndarray, weight: np.ndarray)
     model.slope, model.offset = slope, float(beta[1]) - slope * mean
 
 
-def _part(text: bytes) -> bytes:
-    """At most MOST_WORDS words: all, or stretches from all over the text."""
-    words = text.split()
-    if len(words) <= MOST_WORDS:
-        return b" ".join(words)
-    pieces = MOST_WORDS // 64
-    return b" ".join(b" ".join(words[k : k + 64]) for k in np.linspace(0, len(words) - 64, pieces).astype(int))
-
-
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Column | None = None, positive: int = POSITIVE, negative: int = NEGATIVE) -> Model:
-    """Fit on a bounded sample: at most `positive` and `negative` texts, MOST_WORDS words of each."""
+    """Fit on a bounded sample: at most `positive` and `negative` texts, each read whole in the executors.
+
+    Labels without an id or a label are ignored; an id labelled twice counts as the mean, rounded.  A
+    null text is one without words.  One class alone, or no labelled text: a constant score.
+    """
     cond = F.lit(True) if where is None else where
     shares = {int(r[0]): r[1] for r in labels.where(cond & F.col(label).isNotNull()).groupBy((F.col(label) > 0.5).cast("int")).count().collect()}
     sample = sample_of_labels(labels, label, cond & (F.col(label) > 0.5), positive).union(sample_of_labels(labels, label, cond & (F.col(label) <= 0.5), negative))
-    joined = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("t")).join(F.broadcast(sample), "__id").select("__id", "t", "__label")
+    joined = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t")).join(F.broadcast(sample.withColumnRenamed("__id", "id")), "id")
+    mark = F.xxhash64("id", F.coalesce("t", F.lit("")))
+    picked = joined.select("id", F.col("__label").alias("y"), F.col("t"), mark.alias("mark")).orderBy("mark", "id").limit(positive + negative)
+    # Few rows, but whole texts: written once, then read by each pass below.
+    texts = base.materialize(picked.repartition(16, "mark"), "labelled")
+    held = F.pmod("mark", F.lit(5)) == 0
+    n = {(int(r.y), bool(r.held)): r.n for r in texts.groupBy("y", held.alias("held")).agg(F.count("*").alias("n")).collect()}
+    total = [n.get((k, False), 0) + n.get((k, True), 0) for k in (0, 1)]
+    weight = np.array([shares.get(k, 0) / max(total[k], 1) for k in (0, 1)])
+    rng = np.random.default_rng(7)
+    if not all(total):
+        share = float(np.clip(weight[1] * total[1] / max(weight @ total, 1e-9), 1e-3, 1 - 1e-3))
+        return Model(np.zeros(0, np.uint64), _start(0, rng), 0.0, float(np.log(share / (1 - share))))
+    apart = n.get((1, True), 0) >= 30  # enough toxic texts to calibrate with that were not trained on
+    learnt = texts.where(~held) if apart else texts
+    clean, toxic = (n.get((k, False), 0) + (0 if apart else n.get((k, True), 0)) for k in (0, 1))
+
+    def count(batches):
+        np.seterr(over="ignore")
+        for batch in batches:
+            for part in base.columns_of([batch]):
+                tokens, y = Tokens(base.as_bytes(part.column(1))), part.column(0).to_numpy()
+                pos, neg = _counts(tokens, y)
+                windows = np.bincount(y[tokens.windows()[0]], minlength=2)[0]
+                yield pa.RecordBatch.from_arrays([pa.array([None]), pa.array([0]), pa.array([int(windows)])], schema=_COUNT)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.hash.view(np.int64)), pa.array(pos), pa.array(neg)], schema=_COUNT)
+
+    counts = learnt.select("y", "t").mapInArrow(count, "h long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = base.materialize(counts, "counts")
+    clean_windows = counts.where("h is null").agg(F.coalesce(F.sum("neg"), F.lit(0))).first()[0]
+    odds = F.log((F.col("pos") + 0.5) / (F.col("neg") + 0.5))
+    top = counts.where("h is not null").orderBy(odds.desc(), F.col("pos").desc(), "h").limit(TELLING).toArrow()
+    h, pos, neg = (top.column(c).to_numpy() for c in ("h", "pos", "neg"))
+    order = np.argsort(h.view(np.uint64))
+    telling = docs.sparkSession.sparkContext.broadcast((h.view(np.uint64)[order], _odds(pos, neg, toxic, clean)[order]))
+
+    def windows(batches):
+        np.seterr(over="ignore")
+        known, value = telling.value
+        for batch in batches:
+            for part in base.columns_of([batch]):
+                tokens, y = Tokens(base.as_bytes(part.column(1))), part.column(0).to_numpy().astype(np.int64)
+                at = np.minimum(np.searchsorted(known, tokens.hash), max(len(known) - 1, 0))
+                odds = np.where(known[at] == tokens.hash, value[at], value.min(initial=0.0)) if len(known) else np.zeros(len(tokens.hash))
+                own = np.random.default_rng(part.column(2).to_numpy().view(np.uint64))
+                text, start, label = _pick(tokens, y, odds, int(clean_windows), own)
+                found = [tokens.words(i, k) for i, k in zip(text.tolist(), start.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(found, pa.binary())], ["y", "t"])
+
+    got = learnt.select("y", "t", "mark").mapInArrow(windows, "y int, t binary").orderBy("t", "y").collect()
+    tokens = Tokens([bytes(r.t) for r in got])
+    text, start = tokens.windows()
+    label = np.array([r.y for r in got], dtype=np.float32)
+    np.seterr(over="ignore")
+    model = _learn(tokens, text, start, label[text], sum(total), rng)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def raw(batches):
+        np.seterr(over="ignore")
         for batch in batches:
             for part in base.columns_of([batch]):
-                t = pa.array([_part(t) for t in base.as_bytes(part.column(1))], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), t], ["id", "y", "t"])
-
-    rows = joined.mapInArrow(run, "id long, y int, t binary").orderBy(F.xxhash64("id"), "id", "y", "t").limit(positive + negative).collect()
-    y = np.array([r.y for r in rows], dtype=np.int64)
-    count = np.bincount(y, minlength=2)
-    weight = np.array([shares.get(k, 0) / max(count[k], 1) for k in (0, 1)])[y] if len(y) else np.zeros(0)
-    return fit([bytes(r.t) for r in rows], y, weight * (len(y) / max(weight.sum(), 1e-9)) if len(y) else weight)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.raw(base.as_bytes(part.column(1))))], ["y", "raw"])
+
+    judged = (texts.where(held) if apart else texts).select("y", "t").mapInArrow(raw, "y int, raw double").orderBy("raw", "y").toArrow()
+    y = judged.column("y").to_numpy().astype(np.int64)
+    _calibrate(model, judged.column("raw").to_numpy(), y, weight[y] * len(y) / max(weight[y].sum(), 1e-9))
+    return model
+
+
+_COUNT = pa.schema([("h", pa.int64()), ("pos", pa.int64()), ("neg", pa.int64())])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -64,7 +64,7 @@ def test_scores_do_not_depend_on_the_block(sf):
     lines = alone[:, quality_classifier.FEATURES.index("lines")]
     assert np.allclose(lines, [t.count(b"\n") / len(t.split()) if t.split() else 0 for t in texts])
     y = np.arange(len(texts)) % 2
-    model = toxicity.fit([toxicity._part(t) for t in texts], y, np.ones(len(y)), epochs=1, least=2)
+    model = toxicity.fit(texts, y, np.ones(len(y)), epochs=1, least=2)
     assert np.allclose(model.score(texts), np.concatenate([model.score([t]) for t in texts]), atol=1e-5)
 
 
