@@ -17,18 +17,10 @@ def explode_lines(df: DataFrame, key: str, text: str) -> DataFrame:
 def collapse_repeats(df: DataFrame, key: str, text: str, most: int = REPEAT_LINES) -> DataFrame:
     """key, text with runs of equal lines cut: the first and most - 1 repeats stay, a mark follows.
 
-    Lines compare without outer white space; blank lines never repeat.  Gaps and islands by window,
-    so the lines of a long text spill instead of being held in an array.
+    Lines compare without outer white space; blank lines never repeat.  Every row is cut by itself, in
+    place, so rows that share a key, or have none, stay apart and nothing is exchanged.
     """
-    lines = explode_lines(df, key, text).withColumn("s", X.strip(F.col("line")))
-    w = Window.partitionBy(key).orderBy("line_no")
-    starts = F.when((F.col("s") == F.lag("s").over(w)) & (F.col("s") != ""), 0).otherwise(1)
-    runs = lines.withColumn("run", F.sum(starts).over(w))
-    nth = runs.withColumn("nth", F.row_number().over(Window.partitionBy(key, "run").orderBy("line_no")) - 1)
-    mark = F.lit(f"[identical line repeated more than {most} times; further repeats elided]")
-    kept = nth.where(F.col("nth") <= most).withColumn("line", F.when(F.col("nth") == most, mark).otherwise(F.col("line")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    return kept.groupBy(key).agg(joined.alias(text))
+    return df.select(key, X.collapse_repeats(F.coalesce(F.col(text), F.lit("")), most).alias(text))
 
 
 def sanitize(df: DataFrame, key: str, text: str, most: int = REPEAT_LINES) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import time
 
 import pandas as pd
 import pyarrow as pa
@@ -14,9 +15,9 @@ from ..functions import text as X
 from .sniff import extension, sniff
 
 SECTION = "struct<section_idx: int, anchor: string, body: string, fetch_hint: string>"
-_DDL = f"doc_id string, fmt string, sections array<{SECTION}>, meta map<string,string>, ok boolean, exit_code int, error string"
+_DDL = f"doc_id string, fmt string, sections array<{SECTION}>, meta map<string,string>, ok boolean, exit_code int, error string, bytes long, seconds double"
 _SECTION = pa.struct([("section_idx", pa.int32()), ("anchor", pa.string()), ("body", pa.string()), ("fetch_hint", pa.string())])
-_ARROW = pa.schema([("doc_id", pa.string()), ("fmt", pa.string()), ("sections", pa.list_(_SECTION)), ("meta", pa.map_(pa.string(), pa.string())), ("ok", pa.bool_()), ("exit_code", pa.int32()), ("error", pa.string())])
+_ARROW = pa.schema([("doc_id", pa.string()), ("fmt", pa.string()), ("sections", pa.list_(_SECTION)), ("meta", pa.map_(pa.string(), pa.string())), ("ok", pa.bool_()), ("exit_code", pa.int32()), ("error", pa.string()), ("bytes", pa.int64()), ("seconds", pa.float64())])
 #: Names by which a caller may force a format.
 FORCED = {
     **{k: k for k in ("pdf", "docx", "xlsx", "pptx", "odt", "ods", "odp", "epub", "rtf", "html", "xml", "json", "jsonl", "text", "sqlite", "ipynb", "eml", "yaml", "toml", "ini")},
@@ -42,7 +43,7 @@ def scan(spark: SparkSession, path: str, conf: EngineConf | None = None, glob: s
 
 
 def extract(files: DataFrame, conf: EngineConf | None = None, pages: str | None = None, sheets: str | None = None) -> DataFrame:
-    """One row per file: doc_id, fmt, sections, meta, ok, exit_code, error.  A bad file is a row, not a failure.
+    """One row per file: doc_id, fmt, sections, meta, ok, exit_code, error, bytes, seconds (of the reader).  A bad file is a row, not a failure.
 
     files: doc_id, fmt, content.  pages ("1-3,5") selects pages of pdf files, sheets ("Sales,2-4") sheets
     of xlsx files, inside the readers; other formats ignore them.  A null content is an empty or oversized file (exit code 6).
@@ -55,8 +56,9 @@ def extract(files: DataFrame, conf: EngineConf | None = None, pages: str | None
         for batch in batches:
             rows = []
             for doc_id, fmt, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row = {"doc_id": doc_id, "fmt": fmt, "sections": [], "meta": [], "ok": False, "exit_code": 6, "error": "the file is empty or over the size cap"}
+                row = {"doc_id": doc_id, "fmt": fmt, "sections": [], "meta": [], "ok": False, "exit_code": 6, "error": "the file is empty or over the size cap", "bytes": None, "seconds": None}
                 if content is not None:
+                    began = time.perf_counter()
                     try:
                         kind, sections, meta = read_file(content, fmt, posixpath.basename(doc_id or ""), conf, pages, sheets)
                         row |= {"fmt": kind, "ok": True, "exit_code": 0, "error": None, "meta": [(k, str(v)) for k, v in meta.items()]}
@@ -67,6 +69,8 @@ def extract(files: DataFrame, conf: EngineConf | None = None, pages: str | None
                         row |= {"exit_code": 4, "error": type(e).__name__}
                     except Exception as e:  # noqa: BLE001 - any damage to one file stays with that file
                         row |= {"exit_code": 5, "error": f"{type(e).__name__}: {e}"}
+                if content is not None:
+                    row |= {"bytes": len(content), "seconds": time.perf_counter() - began}
                 rows.append(row)
                 if sum(len(s["body"]) for s in row["sections"]) > 4 << 20 or len(rows) >= 64:
                     yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
@@ -113,9 +117,17 @@ def document_text(spark: SparkSession, path: str, budget: int | None = None, ful
     return assemble(sections_of(got, (_header(),)), budget or conf.budget_tokens, full, ("header",))
 
 
+#: What a reader may report of a file that its header line shows.
+HEADER_COUNTS = ("pages", "sheets", "slides", "cells", "docs", "objects", "records", "words")
+
+
 def _header():
+    """File, size, format, the reader's counts and engine, and its time, in one line."""
     name = F.regexp_extract("doc_id", r"([^/]*)$", 1)
-    return F.concat(F.lit("[folioflow] file="), name, F.lit(" format="), F.col("fmt")).alias("header")
+    counts = [F.concat(F.lit(f"{k}="), F.try_element_at("meta", F.lit(k))) for k in HEADER_COUNTS]
+    engine = F.concat(F.lit("engine="), F.try_element_at("meta", F.lit("engine_note")))
+    bits = F.concat_ws(" ", F.concat(F.lit("file="), name), F.concat(F.lit("size="), X.human_size(F.col("bytes"))), F.concat(F.lit("format="), F.col("fmt")), *counts, engine, F.concat(F.lit("time="), F.format_string("%.2fs", "seconds")))
+    return F.concat(F.lit(f"[folioflow v{VERSION}] "), bits).alias("header")
 
 
 def envelopes(spark: SparkSession, path: str, budget: int | None = None, full: bool = False, pages: str | None = None, sheets: str | None = None, force: str | None = None, stats_only: bool = False) -> DataFrame:

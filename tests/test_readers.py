@@ -2,6 +2,7 @@
 
 import io
 import json
+import re
 import sqlite3
 import struct
 import time
@@ -215,7 +216,7 @@ def test_files_end_to_end(spark, tmp_path):
     got = {r.doc_id.rsplit("/", 1)[1]: r for r in ingest.extract(ingest.scan(spark, str(src))).collect()}
     assert got["a.csv"].fmt == "delimited" and got["b.txt"].fmt == "pdf" and got["c.gz"].exit_code == 3
     text = {r.doc_id.rsplit("/", 1)[1]: r.text for r in ingest.document_text(spark, str(src)).collect()}
-    assert "lying extension" in text["b.txt"] and text["a.csv"].startswith("[folioflow] file=a.csv format=delimited")
+    assert "lying extension" in text["b.txt"] and re.match(r"\[folioflow v[0-9.]+\] file=a.csv size=[0-9]+B format=delimited time=[0-9.]+s\n", text["a.csv"])
     stream_documents(spark, str(src), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
