@@ -143,3 +143,66 @@ def shares(size, weights=(1, 2, 3), repeats=3):
         over = [s for s in free if level * weight[s] > repeats * size[s]]
         done |= {s: float(repeats * size[s]) for s in over} if over else {s: level * weight[s] for s in free}
     return done
+
+
+# --- learned scores --------------------------------------------------------------------------------------
+
+
+def quality_features(text):
+    """The quality features of a text (bytes), by their names, one after another."""
+    from collections import Counter
+    from math import log1p
+
+    w = re.findall(rb"[^\x20\x09-\x0D]+", text)
+    if not w:
+        return {}
+    n, chars, many = len(w), sum(map(len, w)), Counter(w)
+    count = lambda chars: sum(text.count(bytes([c])) for c in chars)
+    lines = [tuple(x) for line in text.split(b"\n") if (x := re.findall(rb"[^\x20\x09-\x0D]+", line))]
+    upper = bytes(range(65, 91))
+    return {
+        "log_words": log1p(n), "mean_word": chars / n, "longest_word": max(map(len, w)), "symbols": count(rb"#*$%&|<>@^~{}[]" + b"\\") / n, "uppers": count(upper) / chars, "digits": count(b"0123456789") / n,
+        "stops": count(b".?,;:") / n, "shouts": count(b"!") / n, "bars": count(b"|\t") / n, "short_words": sum(len(x) <= 3 for x in w) / n, "non_ascii": sum(b >= 128 for b in text) / chars,
+        "lines": text.count(b"\n") / n, "repeats": sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, "variety": len(many) / n, "top_word": max(many.values()) / n,
+        "dup_lines": (len(lines) - len(set(lines))) / len(lines), "urls": count(b"/@_=") / n, "letters": count(upper + upper.lower()) / chars,
+    }
+
+
+def toxicity_score(model, text, word_hash, length, stride, piece, trigrams):
+    """The network's score of a text (bytes): every window step by step, the highest one squashed."""
+    import numpy as np
+
+    def mixed(x):
+        m = (1 << 64) - 1
+        x = (x + 0x9E3779B97F4A7C15) & m
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+        return x ^ x >> 31
+
+    p, w = model.p, []
+    for x in re.findall(rb"[^\x20\x09-\x0D]+", text.lower()):
+        if m := re.search(rb"[0-9a-z\x80-\xff](?:.*[0-9a-z\x80-\xff])?", x, re.S):
+            w += [m[0][k : k + piece] for k in range(0, len(m[0]), piece)]
+    known = {int(h): k + 1 for k, h in enumerate(model.vocabulary)}
+
+    def vector(x):
+        marked = b"\x01" + x + b"\x02"
+        tri = [mixed(marked[k] | marked[k + 1] << 8 | marked[k + 2] << 16) % trigrams for k in range(len(x))]
+        return np.concatenate([p["word"][known.get(word_hash(x), 0)], p["char"][tri].mean(0)])
+
+    squash = lambda v: 1 / (1 + np.exp(-v))
+    size = p["u"].shape[1]
+    best = -np.inf
+    for first in sorted({min(k, max(len(w) - length, 0)) for k in range(0, max(len(w) - length, 0) + stride, stride)}):
+        x = [vector(v) for v in w[first : first + length]]
+        states = np.zeros((len(x), 2 * size))
+        for d, order in ((0, range(len(x))), (1, range(len(x) - 1, -1, -1))):
+            h = np.zeros(size)
+            for t in order:
+                a, s = x[t] @ p["w"][d] + p["b"][d], h @ p["u"][d]
+                z, r = squash(a[:size] + s[:size]), squash(a[size : 2 * size] + s[size : 2 * size])
+                h = z * h + (1 - z) * np.tanh(a[2 * size :] + r * s[2 * size :])
+                states[t, d * size : (d + 1) * size] = h
+        e = np.exp(np.tanh(states @ p["att"] + p["att_b"]) @ p["att_v"])
+        best = max(best, float((e / max(e.sum(), 1e-9)) @ states @ p["out"] + p["out_b"][0]))
+    return squash(model.slope * best + model.offset)

@@ -123,3 +123,32 @@ def test_pipeline_against_brute_force(spark, sf):
         assert 0 <= r.taken <= 3 * r["size"]
         taken[r.source] = taken.get(r.source, 0) + r.taken
     assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+
+
+def test_quality_features_against_plain_python(sf):
+    import duckdb
+    import numpy as np
+
+    np.seterr(over="ignore")
+    texts = [(t or "").encode() for (t,) in duckdb.sql(f"select text from read_parquet('{sf}/documents.parquet') order by doc_id").fetchall()]
+    texts += [b"", b" \n", b"a\na\n\na b\na b|c\td", b"http://x.y/z?a=b a a A \xc3\xa9!", b"x" * 5000, b"\na"]
+    for t, got in zip(texts, quality_classifier.features(texts), strict=True):
+        want = brute.quality_features(t)
+        assert np.allclose(got, [want.get(f, 0.0) for f in quality_classifier.FEATURES], atol=1e-12), t[:80]
+
+
+def test_toxicity_scores_against_plain_python():
+    import numpy as np
+
+    from folioflow.llm.wordhash import word_hashes
+
+    np.seterr(over="ignore")
+    rnd = random.Random(3)
+    vocabulary = ["plain", "words", "vile", "Nasty,", "(and)", "é", "漢字", "--", "x1", "run" * 40]
+    make = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n)).encode()
+    model = toxicity.fit([make(rnd.randint(0, 60)) for _ in range(80)], np.arange(80) % 2, np.ones(80), epochs=1, least=8)
+    model.slope, model.offset = 1.0, 0.0  # the labels above mean nothing: calibration would flatten all scores
+    one = lambda x: int(word_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0])
+    texts = [b"", b"--", b"vile", make(23), make(24), make(25), make(36), make(37), make(150), "漢字".encode() * 100]
+    want = [brute.toxicity_score(model, t, one, toxicity.LENGTH, toxicity.STRIDE, toxicity.PIECE, toxicity.TRIGRAMS) for t in texts]
+    assert np.allclose(model.score(texts), want, atol=1e-5) and np.ptp(want) > 1e-3
