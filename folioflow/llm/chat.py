@@ -7,6 +7,8 @@ A log is a table of events: conv_id, seq, kind, turn, role, text.  Kinds:
 * edit        replaces the turn's text in place;
 * regenerate  drops what the turn had and every later turn begun before, then starts it anew.
 
+Events of other kinds say nothing about a text and are left out.
+
 Events are partitioned by conversation and ordered by seq.  One pass of windows finds, for every
 event, whether a later one undoes it; what remains of a turn is joined in order, and turns are
 rendered with a template.
@@ -21,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+KINDS = ("message", "delta", "edit", "regenerate")
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -48,11 +51,13 @@ def fold(events: DataFrame) -> DataFrame:
     Ties in seq are ordered by kind, role and text.  Nulls: a null text is empty, a null role is the
     empty role, a null kind counts as message, a null conv_id is a conversation of its own, null seq
     and turn come first.  A turn whose every event was undone disappears.  A turn's role is that of
-    its last event with a role.  No events: no rows.
+    its last event with a role.  Events of unknown kinds are ignored, repeated events all count.  No
+    events: no rows.
     """
     e = events.select(
         "conv_id", "seq", "turn", F.coalesce("kind", F.lit("message")).alias("kind"), F.col("role"), F.coalesce("text", F.lit("")).alias("text")
     )
+    e = e.where(F.col("kind").isin(*KINDS))
     order = [F.col("seq").asc_nulls_first(), F.col("turn").asc_nulls_first(), "kind", "role", "text"]
     e = e.withColumn("at", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)))
     later = Window.partitionBy("conv_id").orderBy(F.col("at").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -72,8 +77,10 @@ def render(messages: DataFrame) -> DataFrame:
     """conv_id, formatted, loss: one row per conversation, turns in order.
 
     loss is the mask of the assistant's texts: (turn index in the output, first, last + 1), code points
-    within that rendered turn, so a long conversation is read turn by turn.
+    within that rendered turn, so a long conversation is read turn by turn.  A null role or text is
+    empty, a null turn comes first, ties are ordered by role and text; no messages: no rows.
     """
+    messages = messages.withColumn("role", F.coalesce("role", F.lit(""))).withColumn("text", F.coalesce("text", F.lit("")))
     ordered = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 63))).alias("turn"), "role", "text")))
     conv = messages.groupBy("conv_id").agg(ordered.alias("m"))
     parts = conv.select(
@@ -89,7 +96,10 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, formatted, turns (role, text) and learnt (texts under the loss mask), from render()'s output."""
+    """conv_id, formatted, turns (role, text) and learnt (texts under the loss mask), from render()'s output.
+
+    An empty conversation has no turns; a null formatted or loss gives nulls.
+    """
     pieces = F.split("formatted", r"(?<=<\|im_end\|>\n)")
     pieces = F.filter(pieces, lambda x: x != "")
     cut = formatted.select("conv_id", "formatted", "loss", pieces.alias("pieces"))
