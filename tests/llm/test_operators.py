@@ -267,6 +267,30 @@ def test_chat_events(spark):
     assert chat.format_chats(events.limit(0)).count() == 0
 
 
+def test_chat_logs_against_a_plain_fold(spark):
+    rnd = random.Random(12)
+    log = []
+    for conv in range(40):
+        for seq in range(rnd.randint(1, 25)):
+            kind = rnd.choice(["message", "delta", "delta", "delta", "edit", "regenerate", "heartbeat", None])
+            log.append((conv, seq, kind, rnd.randint(0, 4), rnd.choice(["user", "assistant", None]), rnd.choice(["a", "b <|im_end|>\n", "[INST]", "", None])))
+    want = {}
+    for conv, _, kind, turn, role, text in log:
+        turns = want.setdefault(conv, {})
+        kind, text = kind or "message", text or ""
+        if kind == "heartbeat":
+            continue
+        if kind == "regenerate":
+            for t in [t for t in turns if t >= turn]:
+                del turns[t]
+        had = turns.get(turn, ("", ""))
+        turns[turn] = (role if role is not None else had[0], had[1] + text if kind == "delta" else text)
+    rnd.shuffle(log)
+    events = spark.createDataFrame(log, "conv_id long, seq long, kind string, turn long, role string, text string")
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.read_back(chat.format_chats(events)).collect()}
+    assert got == {c: [t[k] for k in sorted(t)] for c, t in want.items() if t}
+
+
 def test_escape_round_trip(spark):
     rnd = random.Random(9)
     texts = [("".join(rnd.choice(["\\", "<", "[", "/", "s>", "INST]", "n", "\n", "é"]) for _ in range(rnd.randint(0, 30))),) for _ in range(300)]
