@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass, fields
 
 from pyspark.sql import SparkSession
@@ -11,6 +12,8 @@ BOUNDS = {
     "input_bytes": (1, 2048 << 20), "zip_entries": (1, 20_000), "zip_bytes": (1, 2048 << 20), "zip_ratio": (1, 100_000), "xml_bytes": (1, 1024 << 20),
     "pdf_pages": (1, 100_000), "pdf_objects": (1, 2_000_000), "pdf_stream_bytes": (1, 2048 << 20), "budget_tokens": (200, 2_000_000), "head_rows": (1, 100_000), "tail_rows": (1, 100_000),
 }
+#: Settings that count a file's parts, and those that bound its bytes.
+COUNTS, SIZES = ("zip_entries",), ("input_bytes", "zip_bytes", "zip_ratio", "xml_bytes")
 
 
 @dataclass(frozen=True)
@@ -41,6 +44,11 @@ class EngineConf:
             found[f.name] = min(max(value, low), high)
         return cls(**found)
 
+    @classmethod
+    def whole(cls) -> EngineConf:
+        """For files that a job made itself: no cap on the number of their parts, and the ceilings for their bytes."""
+        return cls(**dict.fromkeys(COUNTS, sys.maxsize), **{k: BOUNDS[k][1] for k in SIZES})
+
 
 VERSION = "0.1.0"
 #: Fixed values of the planner and the text pipeline.
