@@ -13,7 +13,7 @@ BOUNDS = {
     "pdf_pages": (1, 100_000), "pdf_objects": (1, 2_000_000), "pdf_stream_bytes": (1, 2048 << 20), "budget_tokens": (200, 2_000_000), "head_rows": (1, 100_000), "tail_rows": (1, 100_000),
 }
 #: Settings that count a file's parts, and those that bound its bytes.
-COUNTS, SIZES = ("zip_entries", "pdf_pages", "pdf_objects"), ("input_bytes", "zip_bytes", "zip_ratio", "xml_bytes", "pdf_stream_bytes")
+COUNTS, SIZES = ("zip_entries", "pdf_pages", "pdf_objects", "head_rows", "tail_rows"), ("input_bytes", "zip_bytes", "zip_ratio", "xml_bytes", "pdf_stream_bytes")
 
 
 @dataclass(frozen=True)
